@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relspark.llm import decontaminate, license_scan, minhash_dedup, packing, secret_scan, token_counts
+from relspark.llm import decontaminate, license_scan, minhash_dedup, packing, secret_scan, token_counts, toxicity
 from relspark.shipping import ship
 
 
@@ -24,6 +24,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_on_sample(docs, _table(spark, sf_dir, "labels"))).drop("spans")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -43,6 +48,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_license_scan": op6_license_scan,
     "op7_minhash_dedup": op7_minhash_dedup,
