@@ -51,20 +51,13 @@ def load(model_path: str):
 
 def frequent_units(docs: DataFrame, sample_rows: int, table_size: int) -> list[str]:
     """The most frequent units of a bounded number of rows. They decide the speed, never a count."""
-
-    def top(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(units(t))
-            if len(seen) > 8 * table_size:
-                seen = Counter(dict(seen.most_common(4 * table_size)))
-        yield pa.RecordBatch.from_pydict({"unit": pa.array([u for u, n in seen.most_common(table_size) if n > 1], pa.string())})
-
-    return [r.unit for r in docs.select("text").limit(sample_rows).mapInArrow(top, "unit string").collect()]
+    seen: Counter = Counter()
+    for row in docs.select("text").take(sample_rows):
+        seen.update(units(row.text))
+    return [u for u, n in seen.most_common(table_size) if n > 1]
 
 
-def count_tokens(docs: DataFrame, model_path: str, *, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", table_size: int = 1 << 15, sample_rows: int = 2000, cache_size: int = 300_000) -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, *, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", table_size: int = 1 << 15, sample_rows: int = 512, cache_size: int = 300_000) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit (n_tokens > ``limit``).
 
     Null and empty texts have no bytes and no tokens; repeated rows are counted each; an empty
