@@ -10,6 +10,7 @@ offsets, and a logistic fit on training documents turns them into the document's
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from relspark.llm.columns import fresh, id_and_text
-from relspark.llm.textvec import ALPHANUMERIC, Words, blocks
+from relspark.llm.textvec import ALPHANUMERIC, Words, blocks, mix
 
 #: Bytes of the beginnings of words that are features beside the whole word.
 BEGINNINGS = (4, 5, 6, 7)
@@ -137,29 +138,28 @@ def _ascend(columns: np.ndarray, labels: np.ndarray, rounds: int = 300, ridge: f
     return w
 
 
-def train(texts: list[str], labels: np.ndarray, *, least_documents: int = 4, least_odds: float = 3.0, most_features: int = 20_000, rounds: int = 25) -> Model:
+def train(texts: list[str], labels: np.ndarray, *, least_places: int = 5, least_odds: float = 3.0, most_features: int = 20_000, rounds: int = 12) -> Model:
     """Fits the field to documents and their labels (0 or 1)."""
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), -6.0, 0.0, (0.0, 0.0), 0.0, (-4.0 if not labels.any() else 0.0, 0.0, 0.0))
     if not len(texts) or not labels.any() or labels.all():
         return empty
     parts = [Words(data, offsets, ALPHANUMERIC) for _, _, data, offsets in blocks(pa.array(texts, pa.large_string()))]
-    # in how many toxic and other documents each feature is
+    # between how many different neighbours each feature stands in toxic and in other documents: copies add nothing
     seen: list[np.ndarray] = []
-    document: list[np.ndarray] = []
     d = 0
     for words in parts:
-        owner = np.repeat(np.arange(d, d + len(words.bounds) - 1), np.diff(words.bounds))
+        toxic = np.repeat(labels[d : d + len(words.bounds) - 1], np.diff(words.bounds)).astype(np.uint64)
         d += len(words.bounds) - 1
-        for h in _feature_hashes(words):
-            pair = np.unique(np.stack([h, owner.astype(np.uint64)]), axis=1)
-            seen.append(pair[0])
-            document.append(pair[1].astype(np.int64))
-    keys, inverse = np.unique(np.concatenate(seen), return_inverse=True)
-    toxic = labels[np.concatenate(document)]
+        h = np.concatenate(([0], words.hashes, [0])).astype(np.uint64)
+        between = mix(h[:-2] * np.uint64(31) + h[2:]) << np.uint64(1) | toxic
+        seen += [np.unique(np.stack([f, between], axis=1).view("u8,u8").ravel()) for f in _feature_hashes(words)]
+    places = np.unique(np.concatenate(seen))
+    keys, inverse = np.unique(places["f0"], return_inverse=True)
+    toxic = (places["f1"] & np.uint64(1)).astype(np.int64)
     in_toxic = np.bincount(inverse, toxic, len(keys))
     in_other = np.bincount(inverse, 1 - toxic, len(keys))
-    odds = np.log((in_toxic + 0.5) / (labels.sum() + 1)) - np.log((in_other + 0.5) / ((1 - labels).sum() + 1))
-    chosen = np.flatnonzero((in_toxic >= least_documents) & (odds >= least_odds))
+    odds = np.log((in_toxic + 0.5) / (in_toxic.sum() + 1)) - np.log((in_other + 0.5) / (in_other.sum() + 1))
+    chosen = np.flatnonzero((in_toxic >= least_places) & (odds >= least_odds))
     chosen = chosen[np.argsort(-in_toxic[chosen], kind="stable")[:most_features]]
     chosen.sort()
     model = Model(keys[chosen], odds[chosen], -6.0, 0.0, (1.0, 0.0), -1.0, (0.0, 0.0, 0.0))
@@ -204,9 +204,9 @@ def is_held_out(id_column, folds: int = 5):
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit_on_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 3000) -> Model:
+def fit_on_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, sample_bytes: int = 16 << 20) -> Model:
     """Trains on at most ``sample_rows`` labelled documents outside the held-out fold, half of them toxic where there
-    are as many. They are the first ones in the order of a hash of their id. Null labels and texts are left out."""
+    are as many, of ``sample_bytes`` in all. They are the first ones in the order of a hash of their id. Null labels are left out."""
     mine = labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~is_held_out(F.col("doc_id")))
     picked: dict[object, int] = {}
     for side in (0, 1):
@@ -216,8 +216,10 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         return train([], np.zeros(0, np.int64))
     chosen = docs.sparkSession.createDataFrame([(k,) for k in sorted(picked)], mine.select("doc_id").schema)
     rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id", "left_semi").toArrow()
-    order = np.argsort(np.array(rows.column(0).to_pylist()), kind="stable")
     ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], texts[i]))
+    kept = np.searchsorted(np.cumsum([len(texts[i]) for i in order]), sample_bytes, side="right")
+    order = order[: max(1, int(kept))]
     return train([texts[i] for i in order], np.array([picked[ids[i]] for i in order], np.int64))
 
 
