@@ -23,7 +23,7 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
-from relspark.llm.columns import id_and_text
+from relspark.llm.columns import fresh, id_and_text
 from relspark.llm.components import components
 from relspark.llm.textvec import Words, blocks, gram_hashes, mix
 from relspark.scratch import materialise
@@ -224,3 +224,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of ``docs`` that are the smallest of their group, or linked with nothing; all columns as they are."""
+    gone = near_duplicates(docs, id_col=id_col, **how).where("NOT kept").select(F.col("doc_id").alias(name := fresh(docs, "gone"))).distinct()
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")

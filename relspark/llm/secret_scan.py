@@ -125,8 +125,9 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_rendered(base).cast("binary"), 256).alias("base_sha256"), _rendered(F.col("found")).alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span replaced by ``mask``; overlapping spans become one. Nulls stay null, other columns as they are."""
+def redact_secrets(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
+    """``docs`` with every span replaced by ``mask``; overlapping spans become one. Nulls stay null, other columns as they are,
+    but for ``length_col``, which gets the new length of a text that changed."""
     name = fresh(docs, "found")
     out = with_spans(docs, text_col, name)
     text = out[text_col]
@@ -137,4 +138,7 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", mask: str = "[SEC
 
     rest = lambda acc: F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
     masked = F.aggregate(out[name], F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("text")), step, rest)
-    return out.withColumn(text_col, F.when(F.size(out[name]) > 0, masked).otherwise(text)).drop(name)
+    out = out.withColumn(text_col, F.when(F.size(out[name]) > 0, masked).otherwise(text))
+    if length_col is not None:
+        out = out.withColumn(length_col, F.when(F.size(out[name]) > 0, F.length(out[text_col])).otherwise(out[length_col]).cast(docs.schema[length_col].dataType))
+    return out.drop(name).select(*docs.columns)
