@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relspark.llm import decontaminate, license_scan, minhash_dedup, packing, secret_scan, token_counts, toxicity, vector_dedup
+from relspark.llm import decontaminate, license_scan, minhash_dedup, packing, secret_scan, suffix_dedup, token_counts, toxicity, vector_dedup
 from relspark.shipping import ship
 
 
@@ -41,6 +41,10 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), least=100)
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_license_scan": op6_license_scan,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
