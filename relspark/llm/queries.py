@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from relspark.llm import decontaminate, license_scan, minhash_dedup, packing, secret_scan, suffix_dedup, token_counts, toxicity, vector_dedup
+from relspark.llm import decontaminate, license_scan, minhash_dedup, packing, passage_dedup, secret_scan, suffix_dedup, token_counts, toxicity, vector_dedup
 from relspark.shipping import ship
 
 
@@ -29,6 +29,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_on_sample(docs, _table(spark, sf_dir, "labels"))).drop("spans")
 
 
+def op4_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.shared_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op4_passage_dedup": op4_passage_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_license_scan": op6_license_scan,
     "op7_minhash_dedup": op7_minhash_dedup,
