@@ -84,9 +84,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separator: int,
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
-def fillings(room: int, lengths: list[int], counts: dict[int, int], most_waste: int, breadth: int) -> list[tuple[int, ...]]:
+def fillings(room: int, lengths: list[int], counts: _Less, most_waste: int, breadth: int, steps: list[int]) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room`` with a waste of at most ``most_waste``, least waste first.
 
+    ``steps`` holds how many items the search may still try in all.
+
     A filling that one larger item could replace is dominated, so an item that fits exactly is the only
     answer, and a filling of several items must exceed the largest single one. ``lengths`` ascend.
     """
@@ -95,32 +97,68 @@ def fillings(room: int, lengths: list[int], counts: dict[int, int], most_waste:
         return [()] if room <= most_waste else []
     if fit[-1] == room:
         return [(room,)]
-    out: list[tuple[int, ...]] = []
-    floor = max(fit[-1], room - most_waste)  # fillings of several items must be above the largest item
-
-    def grow(left: int, below: int, chosen: tuple[int, ...], used: int) -> bool:
-        """Adds items not longer than ``below``; True once enough is found."""
-        at = bisect_right(fit, min(left, below)) - 1
-        tries = 0
-        grew = False
-        while at >= 0 and tries < breadth:
-            x = fit[at]
-            at -= 1
-            if counts[x] <= chosen.count(x):
-                continue
-            grew = True
-            tries += 1
-            if grow(left - x, x, (*chosen, x), used + x):
-                return True
-            if used + x + left - x == room and left == x:
+    out = _exact(room, fit, counts, breadth, steps)
+    if out:
+        return out
+    if len(fit) > 128:  # so many lengths that some of them fill the room
+        out = _fullest(room, sorted({*fit[-48:], *fit[:: len(fit) // 48]}), counts, 0, 1, steps)
+    return out or _fullest(room, fit, counts, most_waste, breadth, steps)
+
+
+def _fullest(room: int, fit: list[int], counts: _Less, most_waste: int, breadth: int, steps: list[int]) -> list[tuple[int, ...]]:
+    """The fullest fillings, by subset sums; of those of one sum the one with the largest items."""
+    # sums that the first 0, 1, ... lengths reach, as bits of an integer; each as often as there are items
+    reached, mask, out = [1], (2 << room) - 1, []
+    for x in fit:
+        bits, n, step = reached[-1], min(counts[x], room // x), 1
+        while n > 0:
+            step = min(step, n)
+            bits |= bits << x * step & mask
+            n -= step
+            step *= 2
+        reached.append(bits)
+    steps[0] -= len(fit)
+    total = reached[-1].bit_length() - 1
+    while total >= max(0, room - most_waste) and len(out) < breadth:
+        if reached[-1] >> total & 1:
+            left, chosen = total, []
+            for k in range(len(fit), 0, -1):
+                n = min(counts[fit[k - 1]], left // fit[k - 1])
+                while n and not reached[k - 1] >> left - n * fit[k - 1] & 1:
+                    n -= 1
+                chosen += [fit[k - 1]] * n
+                left -= n * fit[k - 1]
+            out.append(tuple(chosen))
+            if total <= fit[-1]:
+                break  # any other filling is dominated by the largest item that fits
+        total -= 1
+    return out
+
+
+def _exact(room: int, fit: list[int], counts: _Less, breadth: int, steps: list[int]) -> list[tuple[int, ...]]:
+    """Fillings of two items, or else of three, without waste; large items first."""
+
+    def pairs(left: int, below: int, head: tuple[int, ...], most: int) -> list[tuple[int, ...]]:
+        found = []
+        for at in range(bisect_right(fit, min(below, left - 1)) - 1, -1, -1):
+            a = fit[at]
+            b = left - a
+            if 2 * a < left or len(found) >= most:
                 break
-        if not grew and chosen and (used > floor or len(chosen) == 1 and chosen[0] == fit[-1] and room - used <= most_waste):
-            out.append(chosen)
-            return len(out) >= breadth * 4 or used == room and len(out) >= breadth
-        return False
-
-    grow(room, room, (), 0)
-    return sorted(dict.fromkeys(out), key=lambda f: (-sum(f), len(f), tuple(-x for x in f)))[:breadth]
+            steps[0] -= 1
+            if counts[a] > head.count(a) and counts[b] > head.count(b) + (a == b):
+                found.append((*head, a, b))
+        return found
+
+    out = pairs(room, room, (), breadth)
+    end = max(0, steps[0] - 1000)
+    for at in range(len(fit) - 1, -1, -1) if not out else ():
+        a = fit[at]
+        if 3 * a < room or len(out) >= breadth or steps[0] <= end:
+            break
+        if counts[a] > 0:
+            out += pairs(room - a, a, (a,), 1)
+    return out
 
 
 def _applied(counts: dict[int, int], largest: int, filling: tuple[int, ...]) -> tuple[tuple[tuple[int, int], ...], int]:
@@ -157,30 +195,43 @@ def _best_fit(counts: dict[int, int], capacity: int) -> tuple[list[Pattern], int
     return out, bins
 
 
-def complete_bins(counts: dict[int, int], capacity: int, *, nodes: int = 20_000, breadth: int = 6) -> list[Pattern]:
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: for every a, items above capacity - a are alone, those above half are apart,
+    and items of a or more fill what those leave."""
+    most = 0
+    for a in [0, *(x for x in counts if 2 * x <= capacity)]:
+        alone = sum(n for x, n in counts.items() if x > capacity - a)
+        apart = [(x, n) for x, n in counts.items() if 2 * x > capacity and x <= capacity - a]
+        rest = sum(x * n for x, n in counts.items() if a <= x and 2 * x <= capacity)
+        bins = sum(n for _, n in apart)
+        most = max(most, alone + bins + max(0, -(-(rest - bins * capacity + sum(x * n for x, n in apart)) // capacity)))
+    return most
+
+
+def complete_bins(counts: dict[int, int], capacity: int, *, tries: int = 250_000, breadth: int = 4) -> list[Pattern]:
     """Patterns with multiplicities that use up ``counts``, in as few bins as the search finds.
 
     Depth first: the largest item is placed with each undominated filling around it, as often as the
     counts allow. A branch ends when its waste exceeds what one bin fewer than the incumbent would
-    leave. The incumbent starts from best fit; the search ends at the lower bound or after ``nodes``.
+    leave. The incumbent starts from best fit; the search ends at the lower bound or after ``tries`` items tried.
     """
     counts = {x: n for x, n in counts.items() if n}
     if not counts:
         return []
     total = sum(x * n for x, n in counts.items())
-    bound = -(-total // capacity)
+    bound = lower_bound(counts, capacity)
     best, bins = _best_fit(counts, capacity)
     left, lengths = dict(counts), sorted(counts)
     path: list[Pattern] = []
-    wasted, spent = 0, 0
+    wasted, steps = 0, [tries]
     stack: list[list] = []  # per level: fillings still to try; the step taken
 
     def options() -> list[tuple[int, ...]]:
         allowed = (bins - 1) * capacity - total - wasted
-        return fillings(capacity - lengths[-1], lengths, _Less(left, lengths[-1]), allowed, breadth) if allowed >= 0 else []
+        return fillings(capacity - lengths[-1], lengths, _Less(left, lengths[-1]), allowed, breadth, steps) if allowed >= 0 else []
 
     stack.append([options(), None])
-    while stack and bins > bound and spent < nodes:
+    while stack and bins > bound and steps[0] > 0:
         todo, step = stack[-1]
         if step is not None:  # undo
             need, times, waste = step
@@ -194,7 +245,7 @@ def complete_bins(counts: dict[int, int], capacity: int, *, nodes: int = 20_000,
         if not todo:
             stack.pop()
             continue
-        spent += 1
+        steps[0] -= 1
         filling = todo.pop(0)
         largest = lengths[-1]
         need, times = _applied(left, largest, filling)
@@ -226,7 +277,7 @@ class _Less:
         self.counts, self.placed = counts, placed
 
     def __getitem__(self, x: int) -> int:
-        return self.counts[x] - (x == self.placed)
+        return self.counts.get(x, 0) - (x == self.placed)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 400_000) -> DataFrame:
