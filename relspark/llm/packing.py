@@ -8,7 +8,9 @@ those of their length by the scan itself, and a number's place in the patterns i
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
@@ -23,8 +25,24 @@ from relspark.scratch import materialise
 _WORKER: dict = {}
 
 
+#: Words of these characters need no normalisation but lower case, and fall into the tokenizer's own pre-tokens by PRETOKEN.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level models write bytes as: printable ones themselves, others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class _Tokens:
-    """Ids of texts, as little-endian 32-bit integers. White space parts a text, so its parts are encoded once and kept."""
+    """Ids of texts, as little-endian 32-bit integers.
+
+    White space parts a text, so its words are encoded one by one and kept. A plain word that is not kept is
+    looked up by its pre-tokens, and only new pre-tokens reach the model; other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str, cache_size: int):
         import os
@@ -32,25 +50,42 @@ class _Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.cache_size = cache_size
-        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        letters = _byte_letters()
+        self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+    def _packed(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]).tobytes()
+        return ids
 
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(texts, add_special_tokens=False)]
+    def _word(self, word: str) -> bytes:
+        if not PLAIN.fullmatch(word):
+            return self._packed(word)
+        return b"".join(map(self._part, PRETOKEN.findall(word.lower())))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [any(s in t for s in self.special) for t in texts]  # special strings may hold or touch white space
         split = [[] if w else t.encode().split() for t, w in zip(texts, whole, strict=True)]
         missing = set().union(*split)
-        new = list(missing.difference(self.cache))
-        if len(self.cache) + len(new) > self.cache_size:
-            self.cache.clear()
-            new = list(missing)
-        self.cache.update(zip(new, self._packed([w.decode() for w in new]), strict=True))
-        get = self.cache.__getitem__
-        return [self._packed([t])[0] if w else b"".join(map(get, s)) for t, w, s in zip(texts, whole, split, strict=True)]
+        new = missing.difference(self.words)
+        if len(self.words) + len(new) > self.cache_size:
+            self.words.clear()
+            new = missing
+        if len(self.parts) > 2 * self.cache_size:
+            self.parts.clear()
+        self.words.update((w, self._word(w.decode())) for w in new)
+        get = self.words.__getitem__
+        return [self._packed(t) if w else b"".join(map(get, s)) for t, w, s in zip(texts, whole, split, strict=True)]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separator: int, cache_size: int) -> DataFrame:
@@ -280,13 +315,13 @@ class _Less:
         return self.counts.get(x, 0) - (x == self.placed)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 400_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 300_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and ``separator``; only longer ones than ``capacity`` are cut. Null and empty
     texts are a piece of one id. Repeated rows are packed each; an empty table gives an empty result;
     other columns are not read. The driver gets one count per length. ``cache_size`` bounds a worker's
-    cache of encoded words, ``complete_bins`` says what bounds the search.
+    caches of encoded words and pre-tokens, ``complete_bins`` says what bounds the search.
     """
     own = materialise(pieces(id_and_text(docs, id_col, text_col), tokenizer_path, capacity, separator, cache_size), "pieces")
     by_part = own.groupBy("length", "part").agg(F.count("*").alias("n"))
