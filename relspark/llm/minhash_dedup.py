@@ -6,9 +6,11 @@ arrangement, turned by k places, gives to the document's places. All coordinates
 consecutive entries of one table, so a signature is a minimum over rows of contiguous memory.
 
 Documents with the same shingle set are first merged, then bands of coordinates make buckets. A
-bucket's pairs are never listed: its members are verified against its smallest member, and only
-members that this leaves outside the bucket's largest component are compared with the others, by
-signature first. Links are confirmed by exact Jaccard on the full shingle sets.
+bucket's pairs are never listed: its members are verified against its smallest member, those left outside the
+bucket's largest component against its most central one (with fewest shingles that nobody else has),
+and only what lies apart even then is compared with all others, by exact bounds and signatures first. The
+bound: shingles that no other document has cannot be shared, so a copy with too many changes of its own
+can have no partner. Links are confirmed by exact Jaccard on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -135,43 +137,71 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(verify, "a bigint, b bigint")
 
 
-def _alike(groups: DataFrame, least_equal: int) -> DataFrame:
-    """(a, b) of outsiders and members of one bucket part whose sketches agree in ``least_equal`` coordinates.
+def _mixed(members: DataFrame, links: DataFrame, outsiders_a_task: int) -> DataFrame:
+    """(key, doc_id, comp, main, salts) of buckets whose members are not all in one component; main is the largest."""
+    labels = components(links, "a", "b")
+    placed = materialise(members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "placed")
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most AND all > 2")
+    mixed = mixed.select("key", "main", F.ceil((F.col("all") - F.col("most")) / outsiders_a_task).cast("int").alias("salts"))
+    return materialise(placed.join(mixed, "key"), "mixed")
+
+
+def _single(texts: DataFrame) -> DataFrame:
+    """(doc_id, single): how many shingles of a document no other one of these has. Partners can share the rest at most."""
+
+    def explode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for lo, hi, data, offsets in blocks(b.column(1)):
+                sets = shingle_sets(Words(data, offsets), hi - lo)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo:hi], [len(s) for s in sets])), pa.array(np.concatenate(sets).view(np.int64))], names=["doc_id", "shingle"])
+
+    shingles = texts.select("doc_id", "text").mapInArrow(explode, "doc_id bigint, shingle bigint")
+    alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    return alone.groupBy("doc_id").agg(F.count("*").alias("single"))
+
+
+def _alike(groups: DataFrame, least_equal: int, percent: int) -> DataFrame:
+    """(a, b) of outsiders and members of one bucket part whose sketches agree in ``least_equal`` coordinates and
+    whose shared shingles (those that others have too) suffice for the threshold.
 
     Rows come sorted by (key, salt, role): the part's outsiders (role 0, of bounded number), then all its
     members (role 1), which are streamed past them.
     """
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, comps, rows, block = None, [], [], [], None
+        now, held, rows, block = None, [], [], None
         for b in batches:
-            key, salt, role, doc, comp = (b.column(c).to_numpy() for c in ("key", "salt", "role", "doc_id", "comp"))
+            key, salt, role = (b.column(c).to_numpy() for c in ("key", "salt", "role"))
+            facts = np.stack([b.column(c).to_numpy() for c in ("doc_id", "comp", "n_shingles", "shared")], axis=1)
             sketch = b.column("sketch").to_pylist()
             edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(salt) != 0) | (np.diff(role) != 0)) + 1
-            out_a, out_b = [], []
+            out: set[tuple[int, int]] = set()
             for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
                 if e == s:
                     continue
                 if (key[s], salt[s]) != now:
-                    now, ids, comps, rows, block = (key[s], salt[s]), [], [], [], None
+                    now, held, rows, block = (key[s], salt[s]), [], [], None
                 if role[s] == 0:
-                    ids += doc[s:e].tolist()
-                    comps += comp[s:e].tolist()
+                    held.append(facts[s:e])
                     rows += sketch[s:e]
                     block = None
                     continue
-                if not ids:
+                if not held:
                     continue
                 if block is None:
-                    block = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), np.array(ids), np.array(comps)
+                    block = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), np.concatenate(held)
                 theirs = np.frombuffer(b"".join(sketch[s:e]), np.uint8).reshape(e - s, -1)
+                doc, comp, size, shared = block[1].T
                 for i in range(e - s):
-                    equal = (block[0] == theirs[i]).sum(axis=1)
-                    for j in np.flatnonzero((equal >= least_equal) & (block[2] != comp[s + i])):
-                        x, y = int(block[1][j]), int(doc[s + i])
-                        out_a.append(min(x, y))
-                        out_b.append(max(x, y))
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+                    y, c, n, m = facts[s + i].tolist()
+                    most = np.minimum(shared, m)
+                    near = np.flatnonzero((comp != c) & (100 * most >= percent * (size + n - most)))
+                    for j in near[(block[0][near] == theirs[i]).sum(axis=1) >= least_equal]:
+                        x = int(doc[j])
+                        out.add((min(x, y), max(x, y)))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
     return groups.mapInArrow(compare, "a bigint, b bigint")
 
@@ -200,15 +230,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = materialise(docs.join(wanted, "doc_id", "left_semi"), "texts")
     star_links = materialise(_verified(stars, texts, percent), "star-links")
 
-    # Members that their bucket's center leaves out: compared with all members of other components.
-    labels = components(star_links, "a", "b")
-    placed = materialise(members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "placed")
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most AND all > 2")
-    mixed = mixed.select("key", "main", F.ceil((F.col("all") - F.col("most")) / outsiders_a_task).cast("int").alias("salts"))
-    sketches = signed.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    inside = materialise(placed.join(mixed, "key").join(sketches, "doc_id"), "mixed")
-    part = lambda rows, role, salt: rows.select("key", salt.alias("salt"), F.lit(role).alias("role"), "doc_id", "comp", "sketch")
+    # Members that their bucket's center leaves out, with the shingles that no other such document has.
+    mixed = _mixed(members.select("key", "doc_id"), star_links, outsiders_a_task)
+    single = _single(texts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi"))
+    facts = signed.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch").join(single, "doc_id", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("single", F.lit(0))).drop("single")
+    facts = materialise(facts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi"), "facts")
+    # a second center: the member that has least of its own, as the original of altered copies does
+    central = mixed.join(facts.select("doc_id", "n_shingles", "shared"), "doc_id").groupBy("key").agg(F.min(F.struct((F.col("n_shingles") - F.col("shared")).alias("own"), "doc_id", "comp", "n_shingles", "shared")).alias("c"))
+    second = mixed.join(facts.select("doc_id", "n_shingles", "shared"), "doc_id").join(central, "key").where("comp <> c.comp")
+    most = F.least("shared", F.col("c.shared"))
+    second = second.where(100 * most >= percent * (F.col("n_shingles") + F.col("c.n_shingles") - most))
+    pairs = second.select(F.least("doc_id", F.col("c.doc_id")).alias("a"), F.greatest("doc_id", F.col("c.doc_id")).alias("b")).distinct()
+    star_links = materialise(star_links.union(_verified(pairs, texts, percent)), "star-links")
+
+    # What still lies apart is compared with all other members, unless its own shingles rule that out.
+    mixed = _mixed(mixed.select("key", "doc_id"), star_links, outsiders_a_task)
+    inside = materialise(mixed.join(facts, "doc_id"), "mixed")
+    part = lambda rows, role, salt: rows.select("key", salt.alias("salt"), F.lit(role).alias("role"), "doc_id", "comp", "n_shingles", "shared", "sketch")
+    # whoever has so many shingles of its own that its best partner could not reach the threshold takes no part
+    inside = inside.where(100 * F.col("shared") >= percent * F.col("n_shingles"))
     outsiders = part(inside.where("comp <> main"), 0, F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
     everyone = part(inside, 1, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -216,7 +256,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     coordinates = bands * rows
     # equal coordinates of a pair at the threshold, less six standard deviations
     least_equal = math.floor(coordinates * threshold - 6 * math.sqrt(coordinates * threshold * (1 - threshold)))
-    others = _alike(groups, least_equal).distinct()
+    others = _alike(groups, least_equal, percent).distinct()
     more_links = _verified(others, texts, percent)
     links = star_links.union(more_links)
     reached = components(links, "a", "b").withColumnsRenamed({"node": "rep", "component": "found"})
