@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from relspark.llm.components import components
 from relspark.scratch import materialise
@@ -32,7 +32,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _keys(vectors: DataFrame, passes: int, bits: int) -> DataFrame:
-    """(turn, key, rep, vector): a row for every vector and pass; key orders the pass."""
+    """(turn, size, key, rep): a row for every vector and pass; key orders the pass, vectors of one size apart."""
 
     def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
@@ -46,9 +46,9 @@ def _keys(vectors: DataFrame, passes: int, bits: int) -> DataFrame:
                 x = _matrix(vectors)
                 for turn in range(passes):
                     key = ((x @ _planes(turn, bits, int(size))) > 0) @ weight
-                    yield pa.RecordBatch.from_arrays([pa.array([turn] * len(rows), pa.int32()), pa.array([int(size)] * len(rows), pa.int32()), pa.array(key, pa.int64()), ids, vectors], names=["turn", "size", "key", "rep", "vector"])
+                    yield pa.RecordBatch.from_arrays([pa.array([turn] * len(rows), pa.int32()), pa.array([int(size)] * len(rows), pa.int32()), pa.array(key, pa.int64()), ids], names=["turn", "size", "key", "rep"])
 
-    return vectors.mapInArrow(project, "turn int, size int, key bigint, rep bigint, vector array<double>")
+    return vectors.mapInArrow(project, "turn int, size int, key bigint, rep bigint")
 
 
 def _neighbours(ordered: DataFrame, window: int, cosine: float) -> DataFrame:
@@ -95,20 +95,20 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     link with nothing. Repeated ids stand for rows of their own in n_links. Empty tables give an empty result.
     """
     spark = vectors.sparkSession
-    source = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("vector"))
+    # floats stay floats while they travel; cosines are in double precision
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    source = vectors.select(vectors[id_col].cast("bigint").alias("vec_id"), vectors[vector_col].cast(kind).alias("vector"))
     fine = F.coalesce((F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("vector", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    plain = F.transform("vector", lambda x: x + F.lit(0.0))  # one zero only
+    plain = F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast(kind)  # one zero only
     valid = materialise(source.where(fine).select("vec_id", plain.alias("vector")), "vectors")
     classes = materialise(valid.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    keyed = materialise(_keys(classes.select("rep", "vector"), passes, bits), "keys")
+    keyed = _keys(classes.select("rep", "vector"), passes, bits)
     # positions in each pass's order, without one task that sees it all: ranges of the order, numbered within
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["turn", "size", "key", "rep"]
     ranged = materialise(keyed.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order).select(*order, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("mono")), "order")
     at = F.col("mono") - F.col("part").cast("bigint") * F.lit(1 << 33)
     counts = ranged.groupBy("part").agg((F.max(at) + 1).alias("n"))
-    from pyspark.sql import Window
-
     before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     placed = ranged.join(F.broadcast(before), "part").select("turn", "size", "rep", (F.col("before") + at).alias("row"))
     block = F.floor(F.col("row") / block_rows).cast("bigint")
