@@ -70,4 +70,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+_GRAMS = "unnest(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' ')))"
+
+#: Those that SQL can express on whole tables; the others are tested against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op2_benchmark_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+        q AS (SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0),
+        s AS (SELECT DISTINCT item_id, k, {_GRAMS} AS g FROM q),
+        n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id),
+        t AS (SELECT DISTINCT doc_id, k, {_GRAMS} AS g FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k)
+        SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+        FROM s JOIN t USING (k, g) JOIN n USING (item_id)
+        GROUP BY doc_id, item_id, n_item HAVING 4 * count(*) >= 3 * n_item""",
+    "op10_embedding_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+        r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+        c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+        SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+        FROM v JOIN c ON vec_id = c.x""",
+}
