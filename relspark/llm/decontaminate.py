@@ -21,8 +21,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from relspark.llm.columns import fresh, id_and_text
+from relspark.llm.columns import id_and_text
 from relspark.llm.textvec import ALPHANUMERIC, LOWER, Words, blocks, gram_hashes, mix
 
 SHINGLE = 5
@@ -97,6 +98,38 @@ def _candidates(items: _Items, words: Words) -> set[tuple[int, int]]:
     return found
 
 
+def _verified(items: _Items, texts: pa.Array, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(row, item, shared shingles) for every item that a text contains to the threshold."""
+    for lo, _, data, offsets in blocks(texts):
+        found: dict[int, list[int]] = defaultdict(list)
+        for t, o in _candidates(items, Words(data, offsets, ALPHANUMERIC)):
+            found[t].append(o)
+        for t, owners in sorted(found.items()):
+            words = lowered_words(data[offsets[t] : offsets[t + 1]].tobytes())
+            sets: dict[int, set] = {}
+            for o in sorted(owners):
+                w = items.widths[o]
+                if w not in sets:
+                    sets[w] = set(zip(*[words[i:] for i in range(w)]))
+                both = len(items.shingles[o] & sets[w])
+                if both >= threshold * len(items.shingles[o]):
+                    yield lo + t, o, both
+
+
+def _query_blocks(items: DataFrame, id_col: str, text_col: str, most_items: int, most_bytes: int) -> Iterator[list[tuple[object, str]]]:
+    """The stated query set, in blocks of bounded size."""
+    rows: list[tuple[object, str]] = []
+    size = 0
+    for r in items.select(items[id_col], F.coalesce(items[text_col].cast("string"), F.lit(""))).toLocalIterator():
+        if rows and (len(rows) >= most_items or size + len(r[1]) * 4 > most_bytes):
+            yield rows
+            rows, size = [], 0
+        rows.append((r[0], r[1]))
+        size += len(r[1]) * 4
+    if rows:
+        yield rows
+
+
 def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.75, miss: float = 1e-9, block_items: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
     """One row per (document, item) of which the document contains ``threshold`` or more of the item's distinct five-word
     shingles: doc_id, item_id, n_item, n_shared, containment.
@@ -107,9 +140,8 @@ def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
     rows and ``block_bytes`` bytes, each of which every document is scanned against, so no broadcast outgrows its bound.
     """
     docs = id_and_text(docs, id_col, text_col)
-    queries = items.select(items[item_id_col].alias("item_id"), F.coalesce(items[item_text_col].cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    kinds = docs.schema["doc_id"].dataType, queries.schema["item_id"].dataType
+    kinds = docs.schema["doc_id"].dataType, items.schema[item_id_col].dataType
     schema = f"doc_id {kinds[0].simpleString()}, item_id {kinds[1].simpleString()}, n_item bigint, n_shared bigint, containment double"
     out = spark.createDataFrame([], schema)
 
@@ -118,41 +150,36 @@ def contained_items(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id"
 
         def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = _index(block.value, threshold, miss)
-            item_type = pa.array(items.ids).type if items.ids else pa.int64()
             for b in batches:
-                for lo, hi, data, offsets in blocks(b.column(1)):
-                    found: dict[int, list[int]] = defaultdict(list)
-                    for t, o in _candidates(items, Words(data, offsets, ALPHANUMERIC)):
-                        found[t].append(o)
-                    row, item, n, shared = [], [], [], []
-                    for t, owners in sorted(found.items()):
-                        words = lowered_words(data[offsets[t] : offsets[t + 1]].tobytes())
-                        sets: dict[int, set] = {}
-                        for o in sorted(owners):
-                            w = items.widths[o]
-                            if w not in sets:
-                                sets[w] = set(zip(*[words[i:] for i in range(w)]))
-                            both = len(items.shingles[o] & sets[w])
-                            if both >= threshold * len(items.shingles[o]):
-                                row.append(lo + t), item.append(items.ids[o]), n.append(len(items.shingles[o])), shared.append(both)
-                    if row:
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(item, item_type), pa.array(n, pa.int64()), pa.array(shared, pa.int64()), pa.array([s / m for s, m in zip(shared, n, strict=True)], pa.float64())], names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
+                found = list(_verified(items, b.column(1), threshold))
+                if found:
+                    row, item, shared = zip(*found, strict=True)
+                    n = [len(items.shingles[o]) for o in item]
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array([items.ids[o] for o in item], to_arrow_type(kinds[1])), pa.array(n, pa.int64()), pa.array(shared, pa.int64()), pa.array([s / m for s, m in zip(shared, n, strict=True)], pa.float64())], names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
         return docs.mapInArrow(probe, schema)
 
-    rows: list[tuple[object, str]] = []
-    size = 0
-    for r in queries.toLocalIterator():
-        if rows and (len(rows) >= block_items or size + len(r.text) * 4 > block_bytes):
-            out, rows, size = out.union(scan(rows)), [], 0
-        rows.append((r.item_id, r.text))
-        size += len(r.text) * 4
-    return out.union(scan(rows)) if rows else out
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without those that contain an item; rows whose id is null are judged by their text too."""
-    key = fresh(docs, "row_key")
-    marked = docs.withColumn(key, F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("null "), F.sha2(docs[text_col].cast("string").cast("binary"), 256))))
-    bad = contained_items(marked, items, id_col=key, text_col=text_col, **how).select(F.col("doc_id").alias(key)).distinct()
-    return marked.join(bad, key, "left_anti").select(*docs.columns)
+    for rows in _query_blocks(items, item_id_col, item_text_col, block_items, block_bytes):
+        out = out.union(scan(rows))
+    return out
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.75, miss: float = 1e-9, block_items: int = 20_000, block_bytes: int = 32 << 20) -> DataFrame:
+    """``docs`` without the rows that contain an item; all columns as they are. Rows are judged by their text, in the scan itself."""
+    spark, at, schema = docs.sparkSession, docs.columns.index(text_col), docs.schema
+
+    def without(docs: DataFrame, rows: list[tuple[object, str]]) -> DataFrame:
+        block = spark.sparkContext.broadcast(rows)
+
+        def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = _index(block.value, threshold, miss)
+            for b in batches:
+                clean = np.ones(len(b), bool)
+                clean[[row for row, *_ in _verified(items, b.column(at), threshold)]] = False
+                yield b.filter(pa.array(clean))
+
+        return docs.mapInArrow(keep, schema)
+
+    for rows in _query_blocks(items, item_id_col, item_text_col, block_items, block_bytes):
+        docs = without(docs, rows)
+    return docs
