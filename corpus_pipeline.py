@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from relspark.llm import decontaminate, minhash_dedup, packing, secret_scan, toxicity
-from relspark.scratch import shared_dir
+from relspark.scratch import own_folder
 from relspark.shipping import ship
 
 
@@ -57,7 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage keeps is written to the shared folder and read as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared_dir(spark)}/relspark-pipeline/{uuid.uuid4().hex}"
+    at = own_folder(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
