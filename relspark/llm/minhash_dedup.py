@@ -8,7 +8,7 @@ consecutive entries of one table, so a signature is a minimum over rows of conti
 Documents with the same shingle set are first merged, then bands of coordinates make buckets. A
 bucket's pairs are never listed: its members are verified against its smallest member, those left outside the
 bucket's largest component against its most central one (with fewest shingles that nobody else has),
-and only what lies apart even then is compared with all others, by exact bounds and signatures first. The
+and only what lies apart even then is compared with all others, by bounds that lose nothing first. One
 bound: shingles that no other document has cannot be shared, so a copy with too many changes of its own
 can have no partner. Links are confirmed by exact Jaccard on the full shingle sets.
 """
@@ -79,7 +79,7 @@ def band_shape(threshold: float, rows: int, miss: float) -> int:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sketch, keys): sketch has 8 bits of every coordinate, keys one hash a band."""
+    """(doc_id, n_shingles, set_a, set_b, keys): two hashes of the whole set, and one of every band of its signature."""
     length = bands * rows
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,13 +99,12 @@ def signatures(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([p[0] for p in pairs], pa.int64()),
                         pa.array([p[1] for p in pairs], pa.int64()),
-                        pa.array([x.tobytes() for x in (made & 255).astype(np.uint8)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * bands + 1, bands), pa.int32()), pa.array(keys.view(np.int64).ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "sketch", "keys"],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "keys"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary, keys array<bigint>")
+    return docs.mapInArrow(sign, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -162,43 +161,61 @@ def _single(texts: DataFrame) -> DataFrame:
     return alone.groupBy("doc_id").agg(F.count("*").alias("single"))
 
 
-def _alike(groups: DataFrame, least_equal: int, percent: int) -> DataFrame:
-    """(a, b) of outsiders and members of one bucket part whose sketches agree in ``least_equal`` coordinates and
-    whose shared shingles (those that others have too) suffice for the threshold.
+def _fingerprints(texts: DataFrame) -> DataFrame:
+    """(doc_id, prints): 16 bits of every shingle of a document's set."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, data, offsets in blocks(b.column(1)):
+                sets = shingle_sets(Words(data, offsets), hi - lo)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array([(x >> np.uint64(48)).astype(np.uint16).tobytes() for x in sets], pa.binary())], names=["doc_id", "prints"])
+
+    return texts.select("doc_id", "text").mapInArrow(cut, "doc_id bigint, prints binary")
+
+
+def _alike(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of outsiders and members of one bucket part, of different components, that may reach the threshold.
 
     Rows come sorted by (key, salt, role): the part's outsiders (role 0, of bounded number), then all its
-    members (role 1), which are streamed past them.
+    members (role 1), which are streamed past them. Equal fingerprints are at least as many as equal shingles,
+    and shingles that nobody else has are never equal, so no link is lost; nearly all that is left is one.
     """
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, rows, block = None, [], [], None
+        now, held, raw, block = None, [], [], None
+        present = np.zeros(1 << 16, np.uint8)
         for b in batches:
             key, salt, role = (b.column(c).to_numpy() for c in ("key", "salt", "role"))
             facts = np.stack([b.column(c).to_numpy() for c in ("doc_id", "comp", "n_shingles", "shared")], axis=1)
-            sketch = b.column("sketch").to_pylist()
+            prints = b.column("prints").to_pylist()
             edges = np.flatnonzero((np.diff(key) != 0) | (np.diff(salt) != 0) | (np.diff(role) != 0)) + 1
             out: set[tuple[int, int]] = set()
             for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], strict=True):
                 if e == s:
                     continue
                 if (key[s], salt[s]) != now:
-                    now, held, rows, block = (key[s], salt[s]), [], [], None
+                    now, held, raw, block = (key[s], salt[s]), [], [], None
                 if role[s] == 0:
                     held.append(facts[s:e])
-                    rows += sketch[s:e]
+                    raw += prints[s:e]
                     block = None
                     continue
                 if not held:
                     continue
                 if block is None:
-                    block = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), np.concatenate(held)
-                theirs = np.frombuffer(b"".join(sketch[s:e]), np.uint8).reshape(e - s, -1)
-                doc, comp, size, shared = block[1].T
-                for i in range(e - s):
-                    y, c, n, m = facts[s + i].tolist()
+                    block = np.concatenate(held), np.frombuffer(b"".join(raw), np.uint16), np.concatenate(([0], np.cumsum([len(x) // 2 for x in raw])[:-1]))
+                (doc, comp, size, shared), theirs, start = block[0].T, block[1], block[2]
+                for i in range(s, e):
+                    y, c, n, m = facts[i].tolist()
                     most = np.minimum(shared, m)
-                    near = np.flatnonzero((comp != c) & (100 * most >= percent * (size + n - most)))
-                    for j in near[(block[0][near] == theirs[i]).sum(axis=1) >= least_equal]:
+                    near = (comp != c) & (100 * most >= percent * (size + n - most))
+                    if not near.any():
+                        continue
+                    mine = np.frombuffer(prints[i], np.uint16)
+                    present[mine] = 1
+                    equal = np.minimum(np.add.reduceat(present[theirs], start, dtype=np.int64), n)
+                    present[mine] = 0
+                    for j in np.flatnonzero(near & (100 * equal >= percent * (size + n - equal))):
                         x = int(doc[j])
                         out.add((min(x, y), max(x, y)))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
@@ -233,7 +250,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Members that their bucket's center leaves out, with the shingles that no other such document has.
     mixed = _mixed(members.select("key", "doc_id"), star_links, outsiders_a_task)
     single = _single(texts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi"))
-    facts = signed.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "sketch").join(single, "doc_id", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("single", F.lit(0))).drop("single")
+    facts = signed.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles").join(single, "doc_id", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("single", F.lit(0))).drop("single")
     facts = materialise(facts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi"), "facts")
     # a second center: the member that has least of its own, as the original of altered copies does
     central = mixed.join(facts.select("doc_id", "n_shingles", "shared"), "doc_id").groupBy("key").agg(F.min(F.struct((F.col("n_shingles") - F.col("shared")).alias("own"), "doc_id", "comp", "n_shingles", "shared")).alias("c"))
@@ -243,20 +260,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = second.select(F.least("doc_id", F.col("c.doc_id")).alias("a"), F.greatest("doc_id", F.col("c.doc_id")).alias("b")).distinct()
     star_links = materialise(star_links.union(_verified(pairs, texts, percent)), "star-links")
 
-    # What still lies apart is compared with all other members, unless its own shingles rule that out.
+    # What still lies apart is compared with all other members, unless its own shingles rule that out: whoever
+    # has so many that its best partner could not reach the threshold takes no part, and its bucket may fall away.
     mixed = _mixed(mixed.select("key", "doc_id"), star_links, outsiders_a_task)
-    inside = materialise(mixed.join(facts, "doc_id"), "mixed")
-    part = lambda rows, role, salt: rows.select("key", salt.alias("salt"), F.lit(role).alias("role"), "doc_id", "comp", "n_shingles", "shared", "sketch")
-    # whoever has so many shingles of its own that its best partner could not reach the threshold takes no part
-    inside = inside.where(100 * F.col("shared") >= percent * F.col("n_shingles"))
+    open_ = mixed.join(facts.select("doc_id", "n_shingles", "shared"), "doc_id").where(100 * F.col("shared") >= percent * F.col("n_shingles"))
+    open_ = materialise(open_.select("key", "salts", "main", "doc_id", "comp", "n_shingles", "shared"), "open")
+    apart = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    inside = open_.join(apart, "key", "left_semi")
+    prints = materialise(_fingerprints(texts.join(inside.select("doc_id").distinct(), "doc_id", "left_semi")), "fingerprints")
+    inside = inside.join(prints, "doc_id")
+    part = lambda rows, role, salt: rows.select("key", salt.alias("salt"), F.lit(role).alias("role"), "doc_id", "comp", "n_shingles", "shared", "prints")
     outsiders = part(inside.where("comp <> main"), 0, F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
     everyone = part(inside, 1, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = outsiders.union(everyone).repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "role")
-    coordinates = bands * rows
-    # equal coordinates of a pair at the threshold, less six standard deviations
-    least_equal = math.floor(coordinates * threshold - 6 * math.sqrt(coordinates * threshold * (1 - threshold)))
-    others = _alike(groups, least_equal, percent).distinct()
+    others = _alike(groups, percent).distinct()
     more_links = _verified(others, texts, percent)
     links = star_links.union(more_links)
     reached = components(links, "a", "b").withColumnsRenamed({"node": "rep", "component": "found"})
