@@ -26,3 +26,15 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         labels = step.select("node", "component")
         if not changed:
             return labels
+
+
+def merge(labels: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component) after more links: only components that they join are looked at again."""
+    of = lambda node, name: labels.select(F.col("node").alias(node), F.col("component").alias(name))
+    mapped = links.join(of(a, "of_a"), a, "left").join(of(b, "of_b"), b, "left").select(F.coalesce("of_a", a).alias("u"), F.coalesce("of_b", b).alias("v"))
+    joins = materialise(mapped.where("u <> v").distinct(), "merges")
+    if not joins.limit(1).count():
+        return labels
+    top = components(joins, "u", "v")
+    known = labels.join(top.select(F.col("node").alias("component"), F.col("component").alias("beyond")), "component", "left").select("node", F.coalesce("beyond", "component").alias("component"))
+    return materialise(known.union(top.join(labels.select("node"), "node", "left_anti")), "labels")

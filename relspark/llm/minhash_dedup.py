@@ -26,7 +26,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, functions as F
 
 from relspark.llm.columns import fresh, id_and_text
-from relspark.llm.components import components
+from relspark.llm.components import components, merge
 from relspark.llm.textvec import Words, blocks, gram_hashes, mix
 from relspark.scratch import materialise
 
@@ -136,9 +136,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(verify, "a bigint, b bigint")
 
 
-def _mixed(members: DataFrame, links: DataFrame, outsiders_a_task: int) -> DataFrame:
+def _mixed(members: DataFrame, labels: DataFrame, outsiders_a_task: int) -> DataFrame:
     """(key, doc_id, comp, main, salts) of buckets whose members are not all in one component; main is the largest."""
-    labels = components(links, "a", "b")
     placed = materialise(members.join(labels.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp")), "placed")
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where("all > most AND all > 2")
@@ -245,10 +244,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = members.where("doc_id > center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
     wanted = members.select("doc_id").distinct()
     texts = materialise(docs.join(wanted, "doc_id", "left_semi"), "texts")
-    star_links = materialise(_verified(stars, texts, percent), "star-links")
+    labels = components(_verified(stars, texts, percent), "a", "b")
 
     # Members that their bucket's center leaves out, with the shingles that no other such document has.
-    mixed = _mixed(members.select("key", "doc_id"), star_links, outsiders_a_task)
+    mixed = _mixed(members.select("key", "doc_id"), labels, outsiders_a_task)
     single = _single(texts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi"))
     facts = signed.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles").join(single, "doc_id", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("single", F.lit(0))).drop("single")
     facts = materialise(facts.join(mixed.select("doc_id").distinct(), "doc_id", "left_semi"), "facts")
@@ -258,11 +257,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     most = F.least("shared", F.col("c.shared"))
     second = second.where(100 * most >= percent * (F.col("n_shingles") + F.col("c.n_shingles") - most))
     pairs = second.select(F.least("doc_id", F.col("c.doc_id")).alias("a"), F.greatest("doc_id", F.col("c.doc_id")).alias("b")).distinct()
-    star_links = materialise(star_links.union(_verified(pairs, texts, percent)), "star-links")
+    labels = merge(labels, _verified(pairs, texts, percent), "a", "b")
 
     # What still lies apart is compared with all other members, unless its own shingles rule that out: whoever
     # has so many that its best partner could not reach the threshold takes no part, and its bucket may fall away.
-    mixed = _mixed(mixed.select("key", "doc_id"), star_links, outsiders_a_task)
+    mixed = _mixed(mixed.select("key", "doc_id"), labels, outsiders_a_task)
     open_ = mixed.join(facts.select("doc_id", "n_shingles", "shared"), "doc_id").where(100 * F.col("shared") >= percent * F.col("n_shingles"))
     open_ = materialise(open_.select("key", "salts", "main", "doc_id", "comp", "n_shingles", "shared"), "open")
     apart = open_.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
@@ -275,9 +274,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = outsiders.union(everyone).repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "role")
     others = _alike(groups, percent).distinct()
-    more_links = _verified(others, texts, percent)
-    links = star_links.union(more_links)
-    reached = components(links, "a", "b").withColumnsRenamed({"node": "rep", "component": "found"})
+    reached = merge(labels, _verified(others, texts, percent), "a", "b").withColumnsRenamed({"node": "rep", "component": "found"})
     of_set = sets.join(reached, "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("found", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(of_set, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))

@@ -31,6 +31,10 @@ def test_components(spark):
     nodes = {n for p in pairs for n in p if p[0] != p[1]}
     assert got == roots(nodes, [p for p in pairs if p[0] != p[1]])
     assert components.components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").collect() == []
+    frame = lambda x: spark.createDataFrame(x, "a bigint, b bigint")
+    half = components.components(frame(pairs[:250]), "a", "b")
+    assert {x.node: x.component for x in components.merge(half, frame(pairs[250:]), "a", "b").collect()} == got
+    assert components.merge(half, frame(pairs[:9]), "a", "b").count() == half.count()
 
 
 def shingles(t):
