@@ -145,19 +145,26 @@ def train(texts: list[str], labels: np.ndarray, *, least_places: int = 5, least_
         return empty
     parts = [Words(data, offsets, ALPHANUMERIC) for _, _, data, offsets in blocks(pa.array(texts, pa.large_string()))]
     # between how many different neighbours each feature stands in toxic and in other documents: copies add nothing
-    seen: list[np.ndarray] = []
-    d = 0
-    for words in parts:
-        toxic = np.repeat(labels[d : d + len(words.bounds) - 1], np.diff(words.bounds)).astype(np.uint64)
-        d += len(words.bounds) - 1
-        h = np.concatenate(([0], words.hashes, [0])).astype(np.uint64)
-        between = mix(h[:-2] * np.uint64(31) + h[2:]) << np.uint64(1) | toxic
-        seen += [np.unique(np.stack([f, between], axis=1).view("u8,u8").ravel()) for f in _feature_hashes(words)]
-    places = np.unique(np.concatenate(seen))
-    keys, inverse = np.unique(places["f0"], return_inverse=True)
-    toxic = (places["f1"] & np.uint64(1)).astype(np.int64)
-    in_toxic = np.bincount(inverse, toxic, len(keys))
-    in_other = np.bincount(inverse, 1 - toxic, len(keys))
+    of_text = np.split(labels, np.cumsum([len(w.bounds) - 1 for w in parts])[:-1])
+    keys, in_toxic, in_other = [], [], []
+    for kind in range(1 + len(BEGINNINGS)):  # one kind of feature at a time, to hold a fifth of them at once
+        feature, between = [], []
+        for words, mine in zip(parts, of_text, strict=True):
+            h = np.concatenate(([0], words.hashes, [0])).astype(np.uint64)
+            feature.append(_feature_hashes(words)[kind])
+            between.append(mix(h[:-2] * np.uint64(31) + h[2:]) << np.uint64(1) | np.repeat(mine, np.diff(words.bounds)).astype(np.uint64))
+        feature, between = np.concatenate(feature), np.concatenate(between)
+        order = np.lexsort((between, feature))
+        feature, between = feature[order], between[order]
+        new = np.concatenate(([True], (np.diff(feature) != 0) | (np.diff(between) != 0))) if len(feature) else np.zeros(0, bool)
+        feature, toxic = feature[new], (between[new] & np.uint64(1)).astype(np.int64)
+        own, inverse = np.unique(feature, return_inverse=True)
+        keys.append(own)
+        in_toxic.append(np.bincount(inverse, toxic, len(own)))
+        in_other.append(np.bincount(inverse, 1 - toxic, len(own)))
+    keys, in_toxic, in_other = np.concatenate(keys), np.concatenate(in_toxic), np.concatenate(in_other)
+    by_key = np.argsort(keys)
+    keys, in_toxic, in_other = keys[by_key], in_toxic[by_key], in_other[by_key]
     odds = np.log((in_toxic + 0.5) / (in_toxic.sum() + 1)) - np.log((in_other + 0.5) / (in_other.sum() + 1))
     chosen = np.flatnonzero((in_toxic >= least_places) & (odds >= least_odds))
     chosen = chosen[np.argsort(-in_toxic[chosen], kind="stable")[:most_features]]
