@@ -165,6 +165,25 @@ def test_passages(docs_of, awkward, prose):
         assert any({x.doc_id, x.ref_id} <= h for h in holds.values())
 
 
+@pytest.mark.parametrize("pieces", [[(0, 30), (30, 60)], [(0, 45)], [(15, 60), (0, 20)]])
+def test_passages_whose_parts_stand_in_earlier_documents(docs_of, prose, pieces):
+    texts, wanted = {}, []
+    for j in range(8):
+        passage = prose(9000 + j, 60).split()
+        put = lambda part: texts.__setitem__(len(texts), f"{prose(20_000 + len(texts), 40)} {' '.join(part)} {prose(30_000 + len(texts), 40)}")  # noqa: B023, E731
+        for a, b in pieces:
+            put(passage[a:b])
+        first = len(texts)
+        put(passage)
+        for a, b in pieces:  # once more, so that the nearest earlier document does not hold the passage either
+            put(passage[a:b])
+        wanted.append((len(texts), first))
+        put(passage)
+    got = passage_dedup.shared_passages(docs_of(list(texts.items()))).collect()
+    assert {(x.doc_id, x.ref_id) for x in got} == set(wanted)
+    assert all(x.start <= 40 and x.end >= 100 for x in got)
+
+
 def test_chains_against_enumeration():
     r = random.Random(7)
     for _ in range(40):
