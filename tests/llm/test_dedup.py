@@ -184,6 +184,16 @@ def test_passages_whose_parts_stand_in_earlier_documents(docs_of, prose, pieces)
     assert all(x.start <= 40 and x.end >= 100 for x in got)
 
 
+@pytest.mark.parametrize(("earlier", "later"), [(8, 8), (8, 20), (20, 8)])
+def test_a_line_repeated_in_two_documents(docs_of, prose, earlier, later):
+    line = prose(71, 10)
+    rows = [(1, f"{prose(72, 30)} {' '.join([line] * earlier)}"), (2, f"{prose(73, 25)} {' '.join([line] * later)} {prose(74, 30)}")]
+    got = passage_dedup.shared_passages(docs_of(rows)).collect()
+    assert all((x.doc_id, x.ref_id, x.identity) == (2, 1, 1.0) for x in got)
+    assert {w for x in got for w in range(x.start, x.end)} == set(range(25, 25 + 10 * later))
+    assert max(x.end - x.start for x in got) == 10 * min(earlier, later)
+
+
 def test_chains_against_enumeration():
     r = random.Random(7)
     for _ in range(40):
