@@ -2,8 +2,9 @@
 
 The automaton is built over the words of all templates and phrases. A file is streamed through
 it, which gives its matching statistics: at every word the length of the longest run of words
-ending there that some template holds, and where. Maximal matches are chained along a template
-into covered spans. Words that no template has reset the automaton, so only runs of known words
+ending there that some template holds. Where that is long enough, an automaton of each template gives
+the maximal matches in that template, for templates share words; they are chained along the template
+into covered spans, and a span whose words are a part of another span's is left out. Words that no template has reset the automaton, so only runs of known words
 are streamed; finding those runs is vectorised over whole batches.
 """
 
@@ -132,6 +133,7 @@ class Scanner:
         index = {w: i for i, w in enumerate(vocabulary)}
         self.lengths = [len(ws) for _, ws in self.templates]
         self.automaton = Automaton([[index[w] for w in ws] for _, ws in self.templates])
+        self.single = [Automaton([[index[w] for w in ws]]) for _, ws in self.templates]
         self.by_first: dict[int, list[tuple[list[int], str]]] = defaultdict(list)
         for label, ws in self.phrases:
             self.by_first[index[ws[0]]].append(([index[w] for w in ws], label))
@@ -161,7 +163,8 @@ class Scanner:
                 for words, label in self.by_first.get(w, ()):
                     if run[i : i + len(words)] == words:
                         base.append((a + i, label))
-            matches += [(a + s, n, k, t) for s, n, k, t in self.automaton.maximal_matches(run, self.least_run)]
+            if self.automaton.maximal_matches(run, self.least_run):
+                matches += [(a + s, n, k, t) for k, own in enumerate(self.single) for s, n, _, t in own.maximal_matches(run, self.least_run)]
         spans = self.chain(matches)
         labels = sorted({x for _, x in base})
         found = sorted({self.templates[k][0] for k, *_ in spans} | set(labels))
@@ -170,24 +173,36 @@ class Scanner:
         return {"n_base": len(base), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(labels), "labels": ",".join(found), "score": score, "spans": [{"label": self.templates[k][0], "start": s, "end": e, "covered": c} for k, s, e, c, _ in spans]}
 
     def chain(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, float]]:
-        """(template, first word, end word, words covered, share covered) of chains that cover enough of a template."""
-        out = []
+        """(template, first word, end word, words covered, share covered) of chains that cover enough of a template.
+
+        A chain whose words in the text are some of another such chain's, and fewer, is left out.
+        """
+        out, words = [], []
         by: dict[int, list] = defaultdict(list)
         for s, n, k, t in matches:
             by[k].append((s, n, t))
         for k, ms in by.items():
-            open_: list = []  # (start, end, end in the template, covered)
+            open_: list = []  # (start, end, end in the template, covered, words in the text)
             for s, n, t in sorted(ms):
                 if open_ and s - open_[-1][1] <= self.max_gap and s >= open_[-1][1] - n + 1 and t + n > open_[-1][2]:
-                    start, end, tend, covered = open_[-1]
-                    open_[-1] = (start, max(end, s + n), t + n, covered + min(n, t + n - tend, s + n - end) if s + n > end else covered)
+                    start, end, tend, covered, stands = open_[-1]
+                    stands.update(range(s, s + n))
+                    open_[-1] = (start, max(end, s + n), t + n, covered + min(n, t + n - tend, s + n - end) if s + n > end else covered, stands)
                 else:
-                    open_.append((s, s + n, t + n, n))
-            for start, end, _, covered in open_:
+                    open_.append((s, s + n, t + n, n, set(range(s, s + n))))
+            for start, end, _, covered, stands in open_:
                 share = min(1.0, covered / self.lengths[k])
                 if covered >= self.least_words and share >= self.least_share or share == 1.0:
                     out.append((k, start, end, covered, share))
-        return sorted(out, key=lambda x: (x[1], x[0]))
+                    words.append(stands)
+        # only spans that begin no later can hold one; those that ended before are passed by
+        kept, near = [], []
+        for i in sorted(range(len(out)), key=lambda i: (out[i][1], -out[i][2], out[i][0])):
+            near = [j for j in near if out[j][2] > out[i][1]]
+            if not any(words[i] < words[j] for j in near):
+                kept.append(out[i])
+                near.append(i)
+        return sorted(kept, key=lambda x: (x[1], x[0]))
 
 
 _SCANNERS: dict = {}

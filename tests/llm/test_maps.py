@@ -117,6 +117,16 @@ def test_licenses(docs_of, awkward):
     assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
 
 
+def test_words_that_licenses_share_count_for_each(docs_of):
+    lgpl, long, short = license_scan.TEMPLATES["lgpl"][0], *license_scan.TEMPLATES["apache-2"]
+    rows = [(1, lgpl.replace("gnu lesser", "gnu library")), (2, lgpl), (3, f"x {short} y"), (4, long), (5, license_scan.TEMPLATES["gpl"][0])]
+    by = {r.doc_id: r for r in license_scan.scan_licenses(docs_of(rows)).collect()}
+    assert [by[i].labels for i in range(1, 6)] == ["lgpl", "lgpl", "apache-2", "apache-2", "gpl"]
+    assert by[1].score == 24 / 25
+    assert [(s.label, s.start, s.end) for s in by[3].spans] == [("apache-2", 1, 1 + len(short.split()))]
+    assert [(s.start, s.end) for s in by[4].spans] == [(0, len(long.split()))]
+
+
 def test_automaton_finds_all_maximal_matches():
     r = random.Random(4)
     for _ in range(60):
