@@ -1,8 +1,9 @@
 """Words and substring hashes of many texts at once, in numpy over Arrow's own buffers.
 
 Arrow keeps the UTF-8 bytes of a string column end to end, so a batch of texts is one byte
-array with offsets. Every function here works on such blocks, cut at about a megabyte of
-whole texts to stay in the processor's caches; a longer text is a block of its own.
+array with offsets. Every function here works on such blocks, cut at a quarter of a megabyte of
+whole texts to stay in the processor's caches; a longer text is a block of its own, or, where an
+operator needs no more than windows of bounded length, comes in overlapping parts.
 """
 
 from __future__ import annotations
@@ -13,26 +14,31 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Powers are tabulated for so many places; longer data start them anew.
+TILE = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
-def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of consecutive rows; nulls count as empty."""
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets into them) of a column of texts or bytes; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    n = len(column)
-    if not n:
-        return
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, at, data = column.buffers()
-    offsets = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    lo = 0
+    n = len(column)
+    offsets = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+
+
+def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of consecutive rows; nulls count as empty."""
+    raw, offsets = flat(column)
+    lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1
         hi = min(n, max(hi, lo + 1))
@@ -40,6 +46,18 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
+def parts(column: pa.Array, overlap: int, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """Blocks as above, but a text longer than ``size`` comes in parts of that size, of which neighbours have
+    ``overlap`` bytes in common; the last value is where in its text the part begins."""
+    for lo, hi, data, offsets in blocks(column, size):
+        if len(data) <= size:
+            yield lo, hi, data, offsets, 0
+            continue
+        for at in range(0, max(1, len(data) - overlap), size - overlap):
+            part = data[at : at + size]
+            yield lo, hi, part, np.array([0, len(part)]), at
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every input bit."""
     h = h ^ (h >> np.uint64(30))
@@ -51,12 +69,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _powers(length: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd multiplier and of its inverse modulo 2**64."""
+def _powers(seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd multiplier and of its inverse modulo 2**64, up to TILE."""
     base = (_MULTIPLIER * (2 * seed + 1)) % 2**64
     out = []
     for b in (base, pow(base, -1, 2**64)):
-        p = np.full(length, b, np.uint64)
+        p = np.full(TILE + 1, b, np.uint64)
         p[0] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
@@ -71,16 +89,30 @@ class Hasher:
     """Hashes of any substrings of a block: equal bytes give equal hashes, wherever they stand."""
 
     def __init__(self, data: np.ndarray, seed: int = 0, table: np.ndarray | None = None):
-        size = 1 << max(21, int(len(data) + 1).bit_length())
-        self.up, self.down = _powers(size, seed)
+        self.up, self.down = _powers(seed)
         values = _byte_values(seed)
         if table is not None:
             values = values[table]
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * self.up[: len(data)], out=self.sums[1:])
+        for at in range(0, len(data), TILE):  # powers start anew in every tile
+            own = data[at : at + TILE]
+            np.multiply(values[own], self.up[: len(own)], out=self.sums[at + 1 : at + len(own) + 1])
+        np.cumsum(self.sums, out=self.sums)
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        if len(self.sums) - 1 <= TILE:
+            return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        place = starts % TILE
+        edge = starts - place + TILE
+        total = (self.sums[np.minimum(ends, edge)] - self.sums[starts]) * self.down[place]
+        far = np.flatnonzero(ends > edge)
+        at, factor = edge[far], self.up[TILE - place[far]]
+        while len(far):  # what lies in the next tile goes on with the power that the first byte has there
+            stop = np.minimum(ends[far], at + TILE)
+            total[far] += (self.sums[stop] - self.sums[at]) * factor
+            on = ends[far] > stop
+            far, at, factor = far[on], stop[on], factor[on] * self.up[TILE]
+        return mix(total + (ends - starts).astype(np.uint64))
 
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -125,6 +125,40 @@ def test_suffix_dedup(docs_of, awkward, prose, hot, chunk):
     assert bytes(kept.kept) == b"x" * 10
 
 
+def test_suffix_dedup_of_a_very_long_text(docs_of):
+    letters = np.random.default_rng(12).integers(97, 123, 20 << 20).astype(np.uint8).tobytes().decode()
+    edge = 1 << 18  # a part's end
+    again = letters[edge - 3000 : edge + 2000]
+    rows = [(1, letters), (2, "#" * 50 + again + "#" * 50), (3, letters[5_000_000:5_700_000] + "!")]
+    got = {x.doc_id: x for x in suffix_dedup.remove_repeats(docs_of(rows)).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (0, 0)
+    assert (got[2].n_bytes, got[2].n_removed, got[2].n_spans, got[2].kept_sha256) == (5100, 5000, 1, hashlib.sha256(b"#" * 100).hexdigest())
+    assert (got[3].n_removed, got[3].kept_sha256) == (700_000, hashlib.sha256(b"!").hexdigest())
+
+
+def test_suffix_dedup_of_rows_with_one_id(docs_of, prose):
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(1, a), (2, prose(3, 60)), (2, f"{prose(4, 30)} {a}"), (2, f"{prose(4, 30)} {a}"), (3, b), (3, b), (4, f"{prose(5, 20)} {b}")]
+    got = suffix_dedup.remove_repeats(docs_of(rows)).collect()
+    size = {i: len(t) for i, t in rows[:1] + rows[4:5]}
+    assert sorted((x.doc_id, x.n_removed >= size[1] if x.doc_id == 2 else x.n_removed >= size[3] if x.doc_id == 4 else x.n_removed > 0) for x in got) == sorted([(1, False), (2, False), (2, True), (2, True), (3, False), (3, False), (4, True)])
+    for x in got:  # a row's own bytes are hashed, and no others
+        whole = {hashlib.sha256(t.encode()).hexdigest() for i, t in rows if i == x.doc_id}
+        assert (x.kept_sha256 in whole) == (x.n_removed == 0)
+
+
+def test_hashes_do_not_depend_on_place():
+    from relspark.llm.textvec import TILE, Hasher
+
+    r = np.random.default_rng(9)
+    word = r.integers(0, 256, 2 * TILE + 77).astype(np.uint8)
+    for n in (1, 5, 300, TILE, len(word)):
+        own = Hasher(word[:n])(np.array([0]), np.array([n]))
+        for before in (0, 3, TILE - 2, TILE, 3 * TILE - n % TILE):
+            data = np.concatenate((r.integers(0, 256, before).astype(np.uint8), word[:n], r.integers(0, 256, 9).astype(np.uint8)))
+            assert Hasher(data)(np.array([before]), np.array([before + n])) == own
+
+
 def test_prefix_classes_are_equal_prefixes():
     r = random.Random(5)
     parts = ["".join(r.choice("ab") for _ in range(r.randint(0, 60))) for _ in range(20)]
