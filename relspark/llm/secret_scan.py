@@ -29,20 +29,38 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 #: Bits a window must reach, by class; a window of 20 characters can reach 4.32.
 THRESHOLDS = {"entropy_hex": 3.0, "entropy_alnum": 3.6, "entropy_base64": 3.8}
-#: Never secret by itself: no digit or no letter, UUIDs, paths and rules, placeholders, alphabets.
-ALLOWED = r"^[^0-9]*$|^[^A-Za-z]*$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|(?i:example|sample|placeholder|dummy|changeme|xxxx|0123456789|abcdefgh|----|====|____|/[a-z]+/[a-z]+/)"
+#: Parts that look random or like a key but are none: UUIDs, placeholders, alphabets, rules, paths. No window holds any of one.
+ALLOWED = r"(?<![0-9a-fA-F])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9a-fA-F])|(?i:example|sample|placeholder|dummy|changeme|xxxx|0123456789|abcdefgh|----|====|____|/[a-z]+/[a-z]+/)"
+
+SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+#: Items of one fold: a fold copies what it has gathered at every step, so long lists are folded in runs of so many.
+RUN = 128
+#: Characters of a part of a long string.
+PART = 1024
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once: a lambda that names an expression computes it for every item."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _in_runs(items: Column) -> Column:
+    """Consecutive items, RUN at a time; ``items`` is a column or a lambda's variable."""
+    last = F.floor((F.size(items) - 1) / RUN).cast("int")
+    return F.when(F.size(items) > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(items, k * RUN + 1, F.lit(RUN)))).otherwise(F.array(items))
 
 
 def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None, least: int = 0) -> Column:
     """(start, kind, end, text) of the leftmost non-overlapping matches, in code points.
 
-    What lies between the matches has known lengths, so the starts are running sums.
+    What lies between the matches has known lengths, so the starts are running sums: first over runs of matches,
+    then within each run.
     """
     gaps = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if value_group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
-    none = F.expr("CAST(array() AS array<struct<start:bigint,kind:int,end:bigint,value:string>>)")
-    parts = F.arrays_zip(gaps.alias("gap"), whole.alias("match"), value.alias("value"))
+    none = F.expr(f"CAST(array() AS {SPAN})")
+    zero = F.lit(0).cast("bigint")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -51,40 +69,81 @@ def _spans(text: Column, pattern: str, kind: int, value_group: int | None = None
         kept = x["match"].isNotNull() & (F.length(x["value"]) >= least)
         return F.struct(end.cast("bigint").alias("at"), F.when(kept, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def run(acc: Column, items: Column) -> Column:
+        found = F.aggregate(items, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return _let(found, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    begin = F.struct(zero.alias("at"), F.expr(f"CAST(array() AS array<{SPAN}>)").alias("out"))
+    return _let(F.arrays_zip(gaps.alias("gap"), whole.alias("match"), value.alias("value")), lambda items: F.aggregate(_in_runs(items), begin, run, lambda acc: F.flatten(acc["out"])))
 
 
 def _only_if(test: Column, spans: Column) -> Column:
-    return F.when(test, spans).otherwise(F.expr("CAST(array() AS array<struct<start:bigint,kind:int,end:bigint,value:string>>)"))
+    return F.when(test, spans).otherwise(F.expr(f"CAST(array() AS {SPAN})"))
 
 
 def highest_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy (bits) of any ``window`` consecutive ASCII characters; 0 for shorter strings."""
+    """The highest Shannon entropy (bits) of any ``window`` consecutive ASCII characters; 0 for shorter strings.
+
+    An entering character of which the window has n already adds (n + 1) log (n + 1) - n log n to the sum of
+    n log n over all characters, a leaving one takes as much away; the counts are over a slice of the window's length,
+    and a running sum of both gives every window's entropy. Long strings go in parts that overlap by a window.
+    """
+    # (n + 1) log (n + 1) - n log n, by n
+    added = [math.log2(n + 1) * (n + 1) - (math.log2(n) * n if n else 0.0) for n in range(window + 1)]
+    gain = F.array(*[F.lit(x) for x in added])
+    full = math.log2(window)
+
+    def over(codes: Column) -> Column:
+        """Of one part: its codes, the first ``window - 1`` of which are the last of the part before."""
+        among = lambda i, j, x: F.size(F.filter(F.slice(codes, i, j), lambda c: c == x))
 
-    def term(n: Column) -> Column:
-        return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
+        def change(x: Column, i: Column) -> Column:
+            # both are counted among the characters that stay
+            start, n = F.greatest(i - window + 2, F.lit(1)), F.least(i, F.lit(window - 1))
+            left = F.element_at(codes, F.greatest(i - window + 1, F.lit(1)))
+            return F.element_at(gain, among(start, n, x) + 1) - F.when(i >= window, F.element_at(gain, among(start, n, left) + 1)).otherwise(0.0)
 
-    code = lambda i: F.ascii(F.substring(value, i + 1, F.lit(1)))
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+        def step(acc: Column, x: Column) -> Column:
+            total = acc["sum"] + x
+            return F.struct((acc["n"] + 1).alias("n"), total.alias("sum"), F.when(acc["n"] + 1 >= window, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
 
-    def step(acc: Column, i: Column) -> Column:
-        enters, leaves = code(i), F.when(i >= window, code(i - window)).otherwise(F.lit(-1))
-        n = F.element_at(acc["counts"], enters + 1)
-        added = acc["sum"] + term(n + 1) - term(n)
-        m = F.when(leaves < 0, F.lit(0)).otherwise(F.element_at(acc["counts"], F.greatest(leaves, F.lit(0)) + 1) + F.when(leaves == enters, 1).otherwise(0))
-        total = added - F.when(leaves < 0, F.lit(0.0)).otherwise(term(m) - term(m - 1))
-        counts = F.transform(acc["counts"], lambda c, j: c + F.when(j == enters, 1).otherwise(0) - F.when(j == leaves, 1).otherwise(0))
-        now = F.lit(math.log2(window)) - total / window
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(i >= window - 1, F.greatest(acc["best"], now)).otherwise(acc["best"]).alias("best"))
+        start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(float(window * window)).alias("least"))
+        return F.aggregate(F.transform(codes, change), start, step, lambda acc: F.when(acc["n"] >= window, F.greatest(F.lit(0.0), full - acc["least"] / window)).otherwise(0.0))
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), start, step, lambda acc: acc["best"])
+    codes = lambda s: F.transform(F.split(s, ""), lambda c: F.ascii(c))
+    before = lambda parts, i: F.when(i > 0, F.element_at(parts, F.greatest(i, F.lit(1))).substr(F.lit(PART - window + 2), F.lit(window - 1))).otherwise("")
+    in_parts = lambda parts: F.transform(parts, lambda p, i: codes(F.concat(before(parts, i), p)))
+    return F.when(F.length(value) >= window, F.array_max(F.transform(_let(_parts(value), in_parts), over))).otherwise(0.0)
+
+
+def _parts(text: Column) -> Column:
+    """A text in parts of PART characters: what lies at a place is found without walking there."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PART), F.lit(0))
+
+
+def _between(parts: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end`` of a text in parts."""
+    first = F.floor(start / PART).cast("int")
+    some = F.slice(parts, first + 1, F.floor((end - 1) / PART).cast("int") - first + 1)
+    return F.when(end > start, F.array_join(some, "").substr((start % PART + 1).cast("int"), (end - start).cast("int"))).otherwise("")
 
 
 def _entropy_kind(value: Column) -> Column:
+    """The kind of a candidate in which some stretch between allowed parts has a letter, a digit and a window of enough entropy."""
     kind = F.when(value.rlike("^[0-9a-fA-F-]+$"), F.lit(3)).when(value.rlike("^[A-Za-z0-9]+$"), F.lit(4)).otherwise(F.lit(5))
-    least = F.element_at(F.array(*[F.lit(THRESHOLDS[k]) for k in KINDS[3:]]), kind - 2)
-    allowed = value.rlike(ALLOWED)
-    return F.when(~allowed & (highest_entropy(value) >= least), kind)
+    least = lambda kind: F.element_at(F.array(*[F.lit(THRESHOLDS[k]) for k in KINDS[3:]]), kind - 2)
+    maybe = lambda s: (F.length(s) >= WINDOW) & s.rlike("[0-9]") & s.rlike("[A-Za-z]")
+    stretches = F.filter(F.split(value, ALLOWED, -1), maybe)
+    return _let(kind, lambda kind: F.when(F.exists(stretches, lambda s: highest_entropy(s) >= least(kind)), kind))
+
+
+def _clear_of(spans: Column, others: Column) -> Column:
+    """Those of ``spans`` that meet none of ``others``. Others are passed over a run at a time, by the run's first start and last end."""
+    bounds = lambda r: F.struct(F.element_at(r, 1)["start"].alias("start"), F.array_max(F.transform(r, lambda b: b["end"])).alias("end"), r.alias("items"))
+    meets = lambda s, b: (b["start"] < s["end"]) & (b["end"] > s["start"])
+    clear = lambda runs: F.filter(spans, lambda s: ~F.exists(runs, lambda r: meets(s, r) & F.exists(r["items"], lambda b: meets(s, b))))
+    runs = _let(F.sort_array(F.transform(others, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))), lambda x: F.transform(_in_runs(x), bounds))
+    return F.when((F.size(others) == 0) | (F.size(spans) == 0), spans).otherwise(_let(runs, clear))
 
 
 def with_spans(docs: DataFrame, text_col: str, name: str) -> DataFrame:
@@ -101,9 +160,8 @@ def with_spans(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     )
     text = out[text_col]
     out = out.withColumn(extra, _only_if(text.rlike(CANDIDATE), _spans(text, CANDIDATE, 3)))
-    clear = lambda s: ~F.exists(out[base], lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
     slim = lambda s, kind: F.struct(s["start"].alias("start"), kind.alias("kind"), s["end"].alias("end"))
-    judged = F.filter(F.transform(F.filter(out[extra], clear), lambda s: slim(s, _entropy_kind(s["value"]))), lambda s: s["kind"].isNotNull())
+    judged = F.filter(F.transform(_clear_of(out[extra], out[base]), lambda s: slim(s, _entropy_kind(s["value"]))), lambda s: s["kind"].isNotNull())
     return out.withColumn(name, F.sort_array(F.concat(F.transform(out[base], lambda s: slim(s, s["kind"])), judged))).drop(base, extra)
 
 
@@ -127,18 +185,25 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 def redact_secrets(docs: DataFrame, *, text_col: str = "text", mask: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
     """``docs`` with every span replaced by ``mask``; overlapping spans become one. Nulls stay null, other columns as they are,
-    but for ``length_col``, which gets the new length of a text that changed."""
+    but for ``length_col``, which gets the new length of a text that changed, where the table has such a column. Empty
+    texts stay empty, repeated rows are masked each, an empty table stays empty."""
     name = fresh(docs, "found")
     out = with_spans(docs, text_col, name)
     text = out[text_col]
+    begin = lambda at, kind: F.struct(at.alias("at"), F.expr(f"CAST(array() AS array<{kind}>)").alias("out"))
+
+    def masked(parts: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            piece = F.array(F.concat(_between(parts, acc["at"], s["start"]), F.lit(mask)))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+
+        def run(acc: Column, spans: Column) -> Column:
+            return _let(F.aggregate(spans, begin(acc["at"], "string"), step), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(x["out"], ""))).alias("out")))
 
-    def step(acc: Column, s: Column) -> Column:
-        ahead = F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], ahead).otherwise(acc["text"]).alias("text"))
+        rest = lambda acc: F.concat(F.array_join(acc["out"], ""), _between(parts, acc["at"], F.length(text).cast("bigint")))
+        return F.aggregate(_in_runs(out[name]), begin(F.lit(0).cast("bigint"), "string"), run, rest)
 
-    rest = lambda acc: F.concat(acc["text"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    masked = F.aggregate(out[name], F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("text")), step, rest)
-    out = out.withColumn(text_col, F.when(F.size(out[name]) > 0, masked).otherwise(text))
-    if length_col is not None:
-        out = out.withColumn(length_col, F.when(F.size(out[name]) > 0, F.length(out[text_col])).otherwise(out[length_col]).cast(docs.schema[length_col].dataType))
-    return out.drop(name).select(*docs.columns)
+    changed = out.withColumn(text_col, F.when(F.size(out[name]) > 0, _let(_parts(text), masked)).otherwise(text))
+    if length_col is not None and length_col in docs.columns:
+        changed = changed.withColumn(length_col, F.when(F.size(changed[name]) > 0, F.length(changed[text_col])).otherwise(changed[length_col]).cast(docs.schema[length_col].dataType))
+    return changed.drop(name).select(*docs.columns)
