@@ -249,7 +249,7 @@ def test_vectors(spark):
     rows += [(9000, rows[0][1]), (9001, [v * 3 for v in rows[1][1]]), (9002, rows[2][1]), (9002, rows[2][1])]
     odd = [(5000, None), (5001, []), (5002, [0.0] * 16), (5003, [float("nan")] + [1.0] * 15), (5004, [None] + [1.0] * 15), (5005, [float("inf")] * 16), (5006, [1.0, 2.0]), (None, rows[0][1])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows + odd], "vec_id bigint, embedding array<double>, label int, component_id string")
-    got = vector_dedup.near_vectors(df, window=64, block_rows=128).collect()
+    got = vector_dedup.near_vectors(df, window=64, block_rows=128, block_members=16).collect()
     assert len(got) == len(rows) + len(odd)
     x = np.array([v for _, v in rows])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -261,3 +261,31 @@ def test_vectors(spark):
     assert sorted(tuple(g) for g in got if g.vec_id in linked) == want
     assert all(g.n_links == 0 and g.kept for g in got if g.vec_id not in linked)
     assert vector_dedup.near_vectors(df.limit(0)).collect() == []
+
+
+def brute_links(x, copies=None):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = [np.flatnonzero(x[lo : lo + 1000] @ x.T >= 0.95) for lo in range(0, len(x), 1000)]
+    return np.concatenate([np.bincount(f // len(x), minlength=min(1000, len(x) - 1000 * k)) for k, f in enumerate(near)]) - 1
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.19])  # all within half the angle of a pivot; and hardly any
+def test_links_of_a_group_far_beyond_the_window(spark, spread):
+    r = np.random.default_rng(10)
+    noise = r.normal(size=(12_000, 64)) / 8
+    x = np.concatenate((r.normal(size=64) + noise * 8 * spread, r.normal(size=(1000, 64)), np.repeat(r.normal(size=(1, 64)), 30, axis=0))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    got = sorted(tuple(g) for g in vector_dedup.near_vectors(df).collect())
+    want = brute_links(x.astype(np.float64))
+    assert [g[1] for g in got] == want.tolist()
+    assert want[0] > 8000  # far more than a window holds
+    assert {g[2] for g in got[:12_000]} == {0} and {g[2] for g in got[13_000:]} == {13_000}
+
+
+def test_ties_in_the_order(spark):
+    """Vectors of equal bits in every pass, more than a window of them, with a key of one bit."""
+    r = np.random.default_rng(11)
+    x = np.concatenate([np.outer(np.ones(200), r.normal(size=8)) + 0.01 * r.normal(size=(200, 8)) for _ in range(3)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = sorted(tuple(g) for g in vector_dedup.near_vectors(df, window=16, bits=1, block_rows=64, block_members=32, passes=3).collect())
+    assert [g[1] for g in got] == brute_links(x).tolist()
