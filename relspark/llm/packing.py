@@ -37,6 +37,40 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+#: What a tokenizer file must say for its words to be encoded one by one, as PLAIN and PRETOKEN have it.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_at_white_space(config: dict) -> bool:
+    """Whether a tokenizer's file normalises and splits texts as PLAIN and PRETOKEN do; of others, texts are encoded whole."""
+    before, split = config.get("normalizer") or {}, config.get("pre_tokenizer") or {}
+    steps = split.get("pretokenizers", [])
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    return (
+        before.get("type") == split.get("type") == "Sequence"
+        and before.get("normalizers") == NORMALIZERS
+        and len(steps) == 2
+        and steps[0] == {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+        and byte_level.items() <= steps[1].items()
+        and config.get("post_processor") is None
+        and config["model"]["type"] == "BPE"
+        and not config["model"].get("dropout")
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in config.get("added_tokens", []))
+    )
+
+
+class _Kept:
+    """A bounded cache of two generations: when the young one is full it becomes the old one, so what is used stays."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = max(1, most // 2), {}, {}
+
+    def room(self, n: int) -> None:
+        if len(self.young) + n > self.most:
+            self.young, self.old = {}, self.young
+
+
 class _Tokens:
     """Ids of texts, as little-endian 32-bit integers.
 
@@ -45,16 +79,17 @@ class _Tokens:
     """
 
     def __init__(self, path: str, cache_size: int):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.by_word = splits_at_white_space(json.load(f))
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.cache_size = cache_size
+        self.words = _Kept(cache_size)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         letters = _byte_letters()
         self.letters = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
@@ -62,29 +97,33 @@ class _Tokens:
     def _packed(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
+    def _part(self, part: bytes) -> bytes:
+        """The ids of a lower-case pre-token, which is a word of its own as well."""
+        ids = self.words.young.get(part) or self.words.old.get(part)
         if ids is None:
-            ids = self.parts[part] = array("I", [t.id for t in self.model.tokenize(part if part.isascii() else part.translate(self.letters))]).tobytes()
+            text = part.decode()
+            ids = self.words.young[part] = array("I", [t.id for t in self.model.tokenize(text if text.isascii() else text.translate(self.letters))]).tobytes()
         return ids
 
-    def _word(self, word: str) -> bytes:
-        if not PLAIN.fullmatch(word):
-            return self._packed(word)
-        return b"".join(map(self._part, PRETOKEN.findall(word.lower())))
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters are one pre-token
+            return self._part(word.lower())
+        text = word.decode()
+        if not PLAIN.fullmatch(text):
+            return self._packed(text)
+        return b"".join([self._part(p.encode()) for p in PRETOKEN.findall(text.lower())])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [any(s in t for s in self.special) for t in texts]  # special strings may hold or touch white space
+        whole = [not self.by_word or any(s in t for s in self.special) for t in texts]  # special strings may hold or touch white space
         split = [[] if w else t.encode().split() for t, w in zip(texts, whole, strict=True)]
-        missing = set().union(*split)
-        new = missing.difference(self.words)
-        if len(self.words) + len(new) > self.cache_size:
-            self.words.clear()
-            new = missing
-        if len(self.parts) > 2 * self.cache_size:
-            self.parts.clear()
-        self.words.update((w, self._word(w.decode())) for w in new)
-        get = self.words.__getitem__
+        missing = set().union(*split).difference(self.words.young)
+        if len(self.words.young) + len(missing) > self.words.most:
+            self.words.room(len(missing))
+            missing = set().union(*split)
+        young, old, word = self.words.young, self.words.old.get, self._word
+        for w in missing:
+            young[w] = old(w) or word(w)
+        get = young.__getitem__
         return [self._packed(t) if w else b"".join(map(get, s)) for t, w, s in zip(texts, whole, split, strict=True)]
 
 
@@ -98,16 +137,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separator: int,
         tokens, part, seen = _WORKER[key], TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([separator], "<u4").tobytes()
         for b in batches:
-            for lo in range(0, len(b), 256):
+            for lo in range(0, len(b), 64):
                 row, piece, start, length, crc, number = [], [], [], [], [], []
-                for i, ids in enumerate(tokens.encode(b.column(1).slice(lo, 256).to_pylist())):
+                for i, ids in enumerate(tokens.encode(b.column(1).slice(lo, 64).to_pylist())):
                     ids += end
                     for k, s in enumerate(range(0, len(ids) // 4, capacity)):
                         own = ids[4 * s : 4 * (s + capacity)]
                         n = len(own) // 4
                         row.append(i), piece.append(k), start.append(s), length.append(n), crc.append(zlib.crc32(own)), number.append(seen[n])
                         seen[n] += 1
-                ids_ = b.column(0).slice(lo, 256).take(pa.array(row, pa.int64()))
+                ids_ = b.column(0).slice(lo, 64).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [ids_, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int32()), pa.array(number, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"],
@@ -119,31 +158,49 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separator: int,
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
-def fillings(room: int, lengths: list[int], counts: _Less, most_waste: int, breadth: int, steps: list[int]) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` with a waste of at most ``most_waste``, least waste first.
+def fillings(room: int, lengths: list[int], counts: _Less, most_waste: int, breadth: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` with a waste of at most ``most_waste``, as they are asked for: some without waste
+    that are cheap to find, then for every sum of lengths, fullest first, one filling of it.
 
-    ``steps`` holds how many items the search may still try in all.
+    ``steps`` holds how many items the search may still try in all; the rows of ``lengths``, which ascend, and
+    ``counts`` are as they were whenever the next filling is asked for.
 
     A filling that one larger item could replace is dominated, so an item that fits exactly is the only
-    answer, and a filling of several items must exceed the largest single one. ``lengths`` ascend.
+    answer, and a filling of several items must exceed the largest single one.
     """
     fit = lengths[: bisect_right(lengths, room)]
     if not fit:
-        return [()] if room <= most_waste else []
+        if room <= most_waste:
+            yield ()
+        return
     if fit[-1] == room:
-        return [(room,)]
-    out = _exact(room, fit, counts, breadth, steps)
-    if out:
-        return out
-    if len(fit) > 128:  # so many lengths that some of them fill the room
-        out = _fullest(room, sorted({*fit[-48:], *fit[:: len(fit) // 48]}), counts, 0, 1, steps)
-    return out or _fullest(room, fit, counts, most_waste, breadth, steps)
-
-
-def _fullest(room: int, fit: list[int], counts: _Less, most_waste: int, breadth: int, steps: list[int]) -> list[tuple[int, ...]]:
-    """The fullest fillings, by subset sums; of those of one sum the one with the largest items."""
+        yield (room,)
+        return
+    cheap = _exact(room, fit, counts, breadth, steps)
+    if not cheap and len(fit) > 128:  # so many lengths that a few of them fill the room
+        found = _fullest(room, sorted({*fit[-48:], *fit[:: len(fit) // 48]}), counts, 0, room, steps)
+        cheap = [found] if found else []
+    seen = {tuple(sorted(f)) for f in cheap}
+    del fit
+    yield from cheap
+    below = room
+    while steps[0] > 0:
+        fit = lengths[: bisect_right(lengths, room)]
+        found = _fullest(room, fit, counts, most_waste, below, steps)
+        if found is None:
+            return
+        below, last = sum(found) - 1, sum(found) <= fit[-1]
+        del fit
+        if tuple(sorted(found)) not in seen:
+            yield found
+        if last:  # any other filling is dominated by the largest item that fits
+            return
+
+
+def _fullest(room: int, fit: list[int], counts: _Less, most_waste: int, most: int, steps: list[int]) -> tuple[int, ...] | None:
+    """The fullest filling of ``most`` at most, by subset sums; of those of one sum the one with the largest items."""
     # sums that the first 0, 1, ... lengths reach, as bits of an integer; each as often as there are items
-    reached, mask, out = [1], (2 << room) - 1, []
+    reached, mask = [1], (2 << room) - 1
     for x in fit:
         bits, n, step = reached[-1], min(counts[x], room // x), 1
         while n > 0:
@@ -153,21 +210,17 @@ def _fullest(room: int, fit: list[int], counts: _Less, most_waste: int, breadth:
             step *= 2
         reached.append(bits)
     steps[0] -= len(fit)
-    total = reached[-1].bit_length() - 1
-    while total >= max(0, room - most_waste) and len(out) < breadth:
-        if reached[-1] >> total & 1:
-            left, chosen = total, []
-            for k in range(len(fit), 0, -1):
-                n = min(counts[fit[k - 1]], left // fit[k - 1])
-                while n and not reached[k - 1] >> left - n * fit[k - 1] & 1:
-                    n -= 1
-                chosen += [fit[k - 1]] * n
-                left -= n * fit[k - 1]
-            out.append(tuple(chosen))
-            if total <= fit[-1]:
-                break  # any other filling is dominated by the largest item that fits
-        total -= 1
-    return out
+    total = (reached[-1] & (2 << max(0, most)) - 1).bit_length() - 1
+    if most < 0 or total < max(0, room - most_waste):
+        return None
+    left, chosen = total, []
+    for k in range(len(fit), 0, -1):
+        n = min(counts[fit[k - 1]], left // fit[k - 1])
+        while n and not reached[k - 1] >> left - n * fit[k - 1] & 1:
+            n -= 1
+        chosen += [fit[k - 1]] * n
+        left -= n * fit[k - 1]
+    return tuple(chosen)
 
 
 def _exact(room: int, fit: list[int], counts: _Less, breadth: int, steps: list[int]) -> list[tuple[int, ...]]:
@@ -248,7 +301,8 @@ def complete_bins(counts: dict[int, int], capacity: int, *, tries: int = 250_000
 
     Depth first: the largest item is placed with each undominated filling around it, as often as the
     counts allow. A branch ends when its waste exceeds what one bin fewer than the incumbent would
-    leave. The incumbent starts from best fit; the search ends at the lower bound or after ``tries`` items tried.
+    leave. The incumbent starts from best fit; the search ends at the lower bound or after ``tries`` items tried, so it
+    proves the least number of bins only if it ends before. ``breadth``: cheap fillings without waste tried first.
     """
     counts = {x: n for x, n in counts.items() if n}
     if not counts:
@@ -261,9 +315,9 @@ def complete_bins(counts: dict[int, int], capacity: int, *, tries: int = 250_000
     wasted, steps = 0, [tries]
     stack: list[list] = []  # per level: fillings still to try; the step taken
 
-    def options() -> list[tuple[int, ...]]:
+    def options() -> Iterator[tuple[int, ...]]:
         allowed = (bins - 1) * capacity - total - wasted
-        return fillings(capacity - lengths[-1], lengths, _Less(left, lengths[-1]), allowed, breadth, steps) if allowed >= 0 else []
+        return fillings(capacity - lengths[-1], lengths, _Less(left, lengths[-1]), allowed, breadth, steps) if allowed >= 0 else iter(())
 
     stack.append([options(), None])
     while stack and bins > bound and steps[0] > 0:
@@ -277,11 +331,11 @@ def complete_bins(counts: dict[int, int], capacity: int, *, tries: int = 250_000
             wasted -= waste
             path.pop()
             stack[-1][1] = None
-        if not todo:
+        filling = next(todo, None)
+        if filling is None:
             stack.pop()
             continue
         steps[0] -= 1
-        filling = todo.pop(0)
         largest = lengths[-1]
         need, times = _applied(left, largest, filling)
         waste = times * (capacity - largest - sum(filling))
@@ -315,13 +369,13 @@ class _Less:
         return self.counts.get(x, 0) - (x == self.placed)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 300_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, separator: int = 0, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 800_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and ``separator``; only longer ones than ``capacity`` are cut. Null and empty
     texts are a piece of one id. Repeated rows are packed each; an empty table gives an empty result;
     other columns are not read. The driver gets one count per length. ``cache_size`` bounds a worker's
-    caches of encoded words and pre-tokens, ``complete_bins`` says what bounds the search.
+    cache of encoded words and pre-tokens, ``complete_bins`` says what bounds the search.
     """
     own = materialise(pieces(id_and_text(docs, id_col, text_col), tokenizer_path, capacity, separator, cache_size), "pieces")
     by_part = own.groupBy("length", "part").agg(F.count("*").alias("n"))

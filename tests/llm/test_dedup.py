@@ -228,17 +228,60 @@ def test_a_line_repeated_in_two_documents(docs_of, prose, earlier, later):
     assert max(x.end - x.start for x in got) == 10 * min(earlier, later)
 
 
+def best_chain(found, gap_cost, most_gap):
+    """The highest score of any chain, by trying all: an anchor may follow each earlier one that ends near and before it."""
+    rows = [tuple(x) for x in found.tolist()]
+    best = [0.0] * len(rows)
+    for i, (s, r, n) in enumerate(rows):
+        before = [best[j] - gap_cost * (s - js - jn + r - jr - jn) for j, (js, jr, jn) in enumerate(rows[:i]) if -6 <= s - js - jn <= most_gap and -6 <= r - jr - jn <= most_gap]
+        best[i] = n + max([0.0, *before])
+    return max(best)
+
+
+def chain_score(found, chain, gap_cost, most_gap):
+    s, e, r, t = chain
+    inside = found[(found[:, 0] >= s) & (found[:, 0] + found[:, 2] <= e) & (found[:, 1] >= r) & (found[:, 1] + found[:, 2] <= t)]
+    return best_chain(inside, gap_cost, most_gap) if len(inside) else 0.0
+
+
 def test_chains_against_enumeration():
     r = random.Random(7)
-    for _ in range(40):
-        found = np.array(sorted((r.randrange(100), r.randrange(100), r.randint(6, 9)) for _ in range(7)))
-        best = max(e - s for s, e, *_ in passage_dedup.chains(found, 0.05, 40))
-        assert best >= found[:, 2].max() - 1
+    for _ in range(300):
+        found = np.array(sorted((r.randrange(200), r.randrange(200), r.randint(6, 30)) for _ in range(r.randint(2, 9))))
+        got = passage_dedup.chains(found, 0.05, 40)
+        assert max(chain_score(found, c, 0.05, 40) for c in got) >= best_chain(found, 0.05, 40) - 1e-9
+    assert (360, 420, 360, 420) in passage_dedup.chains(np.array([(0, 0, 300), (360, 360, 20), (390, 390, 30)]), 0.05, 40)
     a, b = list("abcabba"), list("cbabac")
     assert passage_dedup.common_words(a, b) == 4
     assert passage_dedup.common_words([], b) == 0 == passage_dedup.common_words(a, [])
 
 
+def test_exact_passages_against_brute_force(docs_of):
+    """Every run of 50 equal words that stands in an earlier document lies in a reported passage, and nothing else is reported."""
+    r = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    texts = []
+    for i in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.randint(40, 160))]
+        for _ in range(r.randint(0, 2) if i else 0):  # pieces of earlier documents, so that passages are parted in many ways
+            source = texts[r.randrange(i)]
+            n = r.randint(20, 120)
+            at = r.randrange(max(1, len(source) - n))
+            words[(k := r.randrange(len(words))) : k] = source[at : at + n]
+        texts.append(words)
+    first = {}
+    for i, w in enumerate(texts):
+        for s in range(len(w) - 49):
+            first.setdefault(tuple(w[s : s + 50]), i)
+    want = {(i, s) for i, w in enumerate(texts) for s in range(len(w) - 49) if first[tuple(w[s : s + 50])] < i}
+    got = passage_dedup.shared_passages(docs_of([(i, " ".join(w)) for i, w in enumerate(texts)])).collect()
+    covered = {(x.doc_id, s) for x in got for s in range(x.start, x.end - 49)}
+    assert want <= covered and len(want) > 300
+    for x in got:
+        a, b = texts[x.doc_id][x.start : x.end], texts[x.ref_id][x.ref_start : x.ref_end]
+        assert x.ref_id < x.doc_id and min(len(a), len(b)) >= 50 and x.n_equal == passage_dedup.common_words(a, b) and x.identity >= 0.8
+
+
 def test_vectors(spark):
     r = np.random.default_rng(8)
     base = r.normal(size=(60, 16))

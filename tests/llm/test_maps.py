@@ -65,6 +65,23 @@ def test_packing(docs_of, awkward, prose):
     assert packing.pack(docs_of([]), WORDS).collect() == []
 
 
+def test_other_tokenizers_encode_whole_texts(docs_of, tmp_path):
+    """A tokenizer that does not split as the word cache does gets whole texts."""
+    import json
+
+    config = json.load(open(WORDS, encoding="utf-8"))
+    assert packing.splits_at_white_space(config)
+    config["normalizer"] = {"type": "Lowercase"}
+    config["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    assert not packing.splits_at_white_space(config)
+    at = str(tmp_path / "other.json")
+    json.dump(config, open(at, "w", encoding="utf-8"))
+    texts = ["Two  words\n and more", "it's", ""]
+    got = packing.pack(docs_of(list(enumerate(texts)), 1), at, capacity=512).collect()
+    want = {i: zlib.crc32(np.array([*Tokenizer.from_file(at).encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids_crc32 for r in got} == want
+
+
 def smallest_packing(items, capacity):
     """Exact number of bins, by trying every bin for every item."""
     best = len(items)
