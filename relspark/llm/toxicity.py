@@ -1,9 +1,12 @@
 """Toxicity by a linear-chain conditional random field.
 
-Labels are of documents, tokens have none of their own, so they are derived first: words, and
-beginnings of words, that stand in toxic training documents far more often than in others mark
-a token of a toxic document as toxic. The field is trained on these tokens (two tags; emissions from
-the word, its beginnings and its neighbours; four transitions) by its exact likelihood gradient.
+Labels are of documents, tokens have none of their own: a clean document says that each of its
+tokens is clean, a toxic one that some token is toxic, without saying which. So the field's tags are
+hidden, and what is maximised is the likelihood of the documents' labels: the probability that all tags
+are clean, or that not all are. Emissions come from the word, its beginnings and its neighbours; every
+weight (features, neighbours, transitions, start) follows the exact gradient, from the forward-backward
+marginals of single tags and of pairs, under a Gaussian prior around the log odds that the features begin with.
+
 Scoring runs forward-backward over every whole text: the marginals give the offending
 offsets, and a logistic fit on training documents turns them into the document's score.
 """
@@ -50,17 +53,26 @@ class Model:
 
     def evidence(self, words: Words) -> np.ndarray:
         """Each token's own evidence: the sum of its features' weights."""
-        total = np.zeros(len(words.hashes))
-        if not len(self.keys):
-            return total
+        token, feature = self.hits(words)
+        return np.bincount(token, self.weights[feature], len(words.hashes))
+
+    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(token, feature) of every feature that a token has."""
+        tokens, features = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         maybe = np.zeros(1 << 18, bool)
         maybe[(self.keys >> np.uint64(46)).astype(np.int64)] = True
-        for h in _feature_hashes(words):
+        for h in _feature_hashes(words) if len(self.keys) else ():
             at = np.flatnonzero(maybe[(h >> np.uint64(46)).astype(np.int64)])
             k = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
             hit = self.keys[k] == h[at]
-            np.add.at(total, at[hit], self.weights[k[hit]])
-        return total
+            tokens.append(at[hit])
+            features.append(k[hit])
+        return np.concatenate(tokens), np.concatenate(features)
+
+    def judge(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Every token's marginal, and every text's score."""
+        p = marginals(_emissions(self.evidence(words), words.bounds, self.bias, self.near), words.bounds, self.stay, self.first)
+        return p, _score(self.fit, *_summaries(p, words.bounds))
 
 
 def _emissions(own: np.ndarray, bounds: np.ndarray, bias: float, near: float) -> np.ndarray:
@@ -79,11 +91,11 @@ def _onward(x: np.ndarray, stay: tuple[float, float]) -> np.ndarray:
     return np.logaddexp(0, x + stay[1]) - np.logaddexp(stay[0], x)
 
 
-def marginals(emission: np.ndarray, bounds: np.ndarray, stay: tuple[float, float], first: float) -> np.ndarray:
-    """Probability of toxic for every token, by forward-backward over all texts of a block at once.
+def _messages(emission: np.ndarray, bounds: np.ndarray, stay: tuple[float, float], first: float) -> tuple[np.ndarray, np.ndarray]:
+    """Forward messages (the token's emission included) and backward ones of all texts of a block at once, as log odds of toxic.
 
-    In a two-tag chain both messages are log odds, so a step is one expression over all texts that are
-    that long. Texts come in order of length, so those still running are a prefix.
+    A step is one expression over all texts that are that long. Texts come in order of length, so those
+    still running are a prefix.
     """
     n = np.diff(bounds)
     order = np.argsort(-n, kind="stable")
@@ -101,16 +113,87 @@ def marginals(emission: np.ndarray, bounds: np.ndarray, stay: tuple[float, float
     y = np.zeros(len(start))
     for t in range(longest):
         at = last[: running[t]] - t
-        if t:
-            y = _onward_back(y[: len(at)] + emission[at + 1], stay)
-        else:
-            y = y[: len(at)]
+        y = _onward(y[: len(at)] + emission[at + 1], stay) if t else y[: len(at)]
         backward[at] = y
-    return 1 / (1 + np.exp(-np.clip(forward + backward, -60, 60)))
+    return forward, backward
 
 
-def _onward_back(x: np.ndarray, stay: tuple[float, float]) -> np.ndarray:
-    return np.logaddexp(0, x + stay[1]) - np.logaddexp(stay[0], x)
+def _probability(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -60, 60)))
+
+
+def marginals(emission: np.ndarray, bounds: np.ndarray, stay: tuple[float, float], first: float) -> np.ndarray:
+    """Probability of toxic for every token, by forward-backward."""
+    forward, backward = _messages(emission, bounds, stay, first)
+    return _probability(forward + backward)
+
+
+@dataclass
+class Sample:
+    """Training documents: bounds of their tokens, their labels, and which tokens have which features."""
+
+    bounds: np.ndarray
+    labels: np.ndarray
+    token: np.ndarray
+    feature: np.ndarray
+    n_features: int
+
+
+def log_likelihood(theta: np.ndarray, sample: Sample) -> tuple[float, np.ndarray]:
+    """Log likelihood of the documents' labels and its gradient. theta: features' weights, then bias, weight of
+    neighbours, transitions clean to clean and toxic to toxic, start.
+
+    With P the probability that all tags are clean, a label's gradient is the expectation of each
+    count over all tags, less the count when all are clean, times -1 for a clean document and P / (1 - P) for a toxic one.
+    """
+    weights, (bias, near, stay0, stay1, first) = theta[: sample.n_features], theta[sample.n_features :]
+    bounds, n = sample.bounds, int(sample.bounds[-1])
+    own = np.bincount(sample.token, weights[sample.feature], n)
+    inner = np.ones(max(0, n - 1), bool)  # token and the next one are of one text
+    edges = bounds[1:-1]
+    inner[edges[(edges > 0) & (edges < n)] - 1] = False
+    around = np.zeros(n)
+    around[1:] += own[:-1] * inner
+    around[:-1] += own[1:] * inner
+    emission = own + bias + near * around
+    x, y = _messages(emission, bounds, (stay0, stay1), first)
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    starts, ends = bounds[full], bounds[full + 1]
+    # log P: what the clean path weighs, less the sum over all paths
+    steps = stay0 - np.logaddexp(stay0, x)
+    steps[ends - 1] = -np.logaddexp(0, x[ends - 1])
+    log_p = np.add.reduceat(steps, starts) if len(full) else np.zeros(0)
+    log_p = np.minimum(log_p, -1e-12)
+    label = sample.labels[full].astype(bool)
+    value = float(log_p[~label].sum() + np.log(-np.expm1(log_p[label])).sum())
+    times = np.where(label, np.exp(log_p) / -np.expm1(log_p), -1.0)
+    of = np.repeat(times, ends - starts)
+    p = _probability(x + y) * of
+    ahead = emission[1:] + y[1:]
+    top = np.maximum(np.maximum(stay0, ahead), np.maximum(x[:-1], x[:-1] + stay1 + ahead))
+    clean, toxic = np.exp(stay0 - top), np.exp(x[:-1] + stay1 + ahead - top)
+    whole = clean + toxic + np.exp(ahead - top) + np.exp(x[:-1] - top)
+    p_near = np.zeros(n)
+    p_near[1:] += p[:-1] * inner
+    p_near[:-1] += p[1:] * inner
+    gradient = np.bincount(sample.feature, (p + near * p_near)[sample.token], sample.n_features)
+    both = of[:-1] * inner
+    return value, np.concatenate((gradient, [p.sum(), p @ around, ((clean / whole - 1) * both).sum(), (toxic / whole * both).sum(), p[starts].sum()]))
+
+
+def _fitted(sample: Sample, begin: np.ndarray, prior: float, rounds: int) -> np.ndarray:
+    """theta that ascends the likelihood under a Gaussian prior around ``begin``, by Adam steps over the whole sample."""
+    theta, mean, square = begin.copy(), np.zeros(len(begin)), np.zeros(len(begin))
+    best, found = -np.inf, begin
+    for r in range(1, rounds + 1):
+        value, g = log_likelihood(theta, sample)
+        value -= prior / 2 * float(((theta - begin) ** 2).sum())
+        g = g - prior * (theta - begin)
+        if value > best:
+            best, found = value, theta.copy()
+        mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
+        theta = theta + 0.15 * (mean / (1 - 0.9**r)) / (np.sqrt(square / (1 - 0.99**r)) + 1e-8)
+    return found
 
 
 def _summaries(p: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +207,7 @@ def _summaries(p: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _score(fit: tuple[float, float, float], high: np.ndarray, total: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(fit[0] + fit[1] * high + fit[2] * np.log1p(total), -60, 60)))
+    return _probability(fit[0] + fit[1] * high + fit[2] * np.log1p(total))
 
 
 def _ascend(columns: np.ndarray, labels: np.ndarray, rounds: int = 300, ridge: float = 1e-3) -> np.ndarray:
@@ -138,8 +221,10 @@ def _ascend(columns: np.ndarray, labels: np.ndarray, rounds: int = 300, ridge: f
     return w
 
 
-def train(texts: list[str], labels: np.ndarray, *, least_places: int = 5, least_odds: float = 3.0, most_features: int = 20_000, rounds: int = 12) -> Model:
-    """Fits the field to documents and their labels (0 or 1)."""
+def train(texts: list[str], labels: np.ndarray, *, least_places: int = 5, least_odds: float = 3.0, most_features: int = 20_000, prior: float = 1.0, rounds: int = 25) -> Model:
+    """Fits the field to documents and their labels (0 or 1). Features are words and beginnings of words that stand between
+    ``least_places`` different neighbours in toxic documents and there with log odds of ``least_odds``: the
+    ``most_features`` that stand most often."""
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), -6.0, 0.0, (0.0, 0.0), 0.0, (-4.0 if not labels.any() else 0.0, 0.0, 0.0))
     if not len(texts) or not labels.any() or labels.all():
         return empty
@@ -169,39 +254,24 @@ def train(texts: list[str], labels: np.ndarray, *, least_places: int = 5, least_
     chosen = np.flatnonzero((in_toxic >= least_places) & (odds >= least_odds))
     chosen = chosen[np.argsort(-in_toxic[chosen], kind="stable")[:most_features]]
     chosen.sort()
-    model = Model(keys[chosen], odds[chosen], -6.0, 0.0, (1.0, 0.0), -1.0, (0.0, 0.0, 0.0))
     if not len(chosen):
         return empty
-
-    # tokens: derived tags, then the field's likelihood
-    own = [model.evidence(w) for w in parts]
-    sizes = [len(w.bounds) - 1 for w in parts]
-    first = np.cumsum([0, *sizes])
-    tags = [((o > 0) & (np.repeat(labels[first[i] : first[i + 1]], np.diff(w.bounds)) > 0)).astype(float) for i, (o, w) in enumerate(zip(own, parts, strict=True))]
-    scale, bias, near, stay, start = 1.0, -4.0, 0.05, [1.0, 0.0], -1.0
-    for r in range(rounds):
-        # expected less observed counts of every parameter, by forward-backward
-        g = np.zeros(6)
-        n = 0
-        for o, w, y in zip(own, parts, tags, strict=True):
-            e = _emissions(o * scale, w.bounds, bias, near)
-            p = marginals(e, w.bounds, tuple(stay), start)
-            d = y - p
-            inner = np.ones(len(d), bool)
-            inner[w.bounds[w.bounds < len(d)]] = False
-            around = np.zeros(len(d))
-            around[1:] += o[:-1] * inner[1:]
-            around[:-1] += o[1:] * inner[1:]
-            both = inner[1:]
-            g += [d @ o, d.sum(), d @ around, (((1 - y[1:]) * (1 - y[:-1]) - (1 - p[1:]) * (1 - p[:-1])) * both).sum(), ((y[1:] * y[:-1] - p[1:] * p[:-1]) * both).sum(), d[w.bounds[:-1][np.diff(w.bounds) > 0]].sum()]
-            n += len(d)
-        step = 4.0 / (1 + r / 10)
-        move = np.clip(g / np.sqrt(n * max(1.0, sum(t.sum() for t in tags))) * step, -0.5, 0.5)
-        scale, bias, near, start = max(0.1, scale + move[0]), bias + move[1], near + 0.1 * move[2], start + move[5]
-        stay = [float(np.clip(stay[0] + move[3], 0, 4)), float(np.clip(stay[1] + move[4], -2, 4))]
-    model.weights, model.bias, model.near, model.stay, model.first = model.weights * scale, bias, near, tuple(stay), start
-    high, total = zip(*[_summaries(marginals(_emissions(model.evidence(w), w.bounds, model.bias, model.near), w.bounds, model.stay, model.first), w.bounds) for w in parts], strict=True)
-    high, total = np.concatenate(high), np.concatenate(total)
+    model = Model(keys[chosen], odds[chosen], -6.0, 0.0, (1.0, 0.0), -1.0, (0.0, 0.0, 0.0))
+    hits = [model.hits(w) for w in parts]
+    first = np.cumsum([0, *(len(w.hashes) for w in parts)])
+    sample = Sample(
+        np.concatenate([[0], *(w.bounds[1:] + s for w, s in zip(parts, first, strict=False))]),
+        labels,
+        np.concatenate([t + s for (t, _), s in zip(hits, first, strict=False)]),
+        np.concatenate([f for _, f in hits]),
+        len(chosen),
+    )
+    del parts, hits
+    theta = _fitted(sample, np.concatenate((odds[chosen], [-6.0, 0.05, 1.0, 0.0, -1.0])), prior, rounds)
+    model.weights = theta[: len(chosen)]
+    model.bias, model.near, model.first, model.stay = float(theta[-5]), float(theta[-4]), float(theta[-1]), (float(theta[-3]), float(theta[-2]))
+    own = np.bincount(sample.token, model.weights[sample.feature], int(sample.bounds[-1]))
+    high, total = _summaries(marginals(_emissions(own, sample.bounds, model.bias, model.near), sample.bounds, model.stay, model.first), sample.bounds)
     model.fit = tuple(float(x) for x in _ascend(np.stack([np.ones(len(high)), high, np.log1p(total)], axis=1), labels.astype(float)))
     return model
 
@@ -211,23 +281,34 @@ def is_held_out(id_column, folds: int = 5):
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit_on_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, sample_bytes: int = 16 << 20) -> Model:
+def fit_on_sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 2000, sample_bytes: int = 16 << 20, sample_text_bytes: int = 1 << 16) -> Model:
     """Trains on at most ``sample_rows`` labelled documents outside the held-out fold, half of them toxic where there
-    are as many, of ``sample_bytes`` in all. They are the first ones in the order of a hash of their id. Null labels are left out."""
+    are as many, of ``sample_bytes`` in all and ``sample_text_bytes`` each. They are the first ones in the order of a hash of
+    their id, among the first ``2 * sample_rows`` labels; longer ones are passed over. Null labels are left out; of
+    several rows of one id the shortest text is taken."""
     mine = labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(~is_held_out(F.col("doc_id")))
     picked: dict[object, int] = {}
     for side in (0, 1):
-        for r in mine.where(F.col("toxic") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows // 2).collect():  # bounded by sample_rows
+        for r in mine.where(F.col("toxic") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).collect():  # bounded by sample_rows
             picked[r.doc_id] = int(r.toxic)
     if not picked:
         return train([], np.zeros(0, np.int64))
-    chosen = docs.sparkSession.createDataFrame([(k,) for k in sorted(picked)], mine.select("doc_id").schema)
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id", "left_semi").toArrow()
-    ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (zlib.crc32(str(ids[i]).encode()), ids[i], texts[i]))
-    kept = np.searchsorted(np.cumsum([len(texts[i]) for i in order]), sample_bytes, side="right")
-    order = order[: max(1, int(kept))]
-    return train([texts[i] for i in order], np.array([picked[ids[i]] for i in order], np.int64))
+    spark, kind = docs.sparkSession, mine.schema["doc_id"].dataType.simpleString()
+    rows = id_and_text(docs, id_col, text_col)
+    asked = spark.createDataFrame([(k,) for k in sorted(picked)], f"doc_id {kind}")
+    sized = rows.join(F.broadcast(asked), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("text_hash"))).alias("x"))
+    left, chosen, quota = sample_bytes, [], {0: sample_rows // 2, 1: sample_rows // 2}
+    for r in sorted(sized.select("doc_id", "x.*").collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id)):  # a row for each label asked for at most
+        if r.size <= min(left, sample_text_bytes) and quota[picked[r.doc_id]]:
+            chosen.append((r.doc_id, r.text_hash))
+            left -= r.size
+            quota[picked[r.doc_id]] -= 1
+    if not chosen:
+        return train([], np.zeros(0, np.int64))
+    wanted = spark.createDataFrame(chosen, f"doc_id {kind}, text_hash bigint")
+    texts = rows.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(wanted), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text").toArrow()  # bounded by sample_bytes
+    texts = sorted(zip(texts.column(0).to_pylist(), texts.column(1).to_pylist(), strict=True))
+    return train([t for _, t in texts], np.array([picked[i] for i, _ in texts], np.int64))
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", span_odds: float = 0.5) -> DataFrame:
@@ -245,14 +326,13 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
         for b in batches:
             for lo, hi, data, offsets in blocks(b.column(1), 4 << 20):
                 words = Words(data, offsets, ALPHANUMERIC)
-                p = marginals(_emissions(model.evidence(words), words.bounds, model.bias, model.near), words.bounds, model.stay, model.first)
-                high, total = _summaries(p, words.bounds)
+                p, scores = model.judge(words)
                 tagged = np.flatnonzero(p >= span_odds)
                 text = np.searchsorted(words.bounds, tagged, side="right") - 1
                 spans: list[list] = [[] for _ in range(hi - lo)]
                 for t, s, e in zip(text.tolist(), (words.starts[tagged] - offsets[text]).tolist(), (words.ends[tagged] - offsets[text]).tolist(), strict=True):
                     spans[t].append({"start": s, "end": e})
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(_score(model.fit, high, total)), pa.array(spans, span)], names=["doc_id", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(scores), pa.array(spans, span)], names=["doc_id", "score", "spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.mapInArrow(score, f"doc_id {kind}, score double, spans array<struct<start:bigint,end:bigint>>")
@@ -260,7 +340,8 @@ def score_toxicity(docs: DataFrame, model: Model, *, id_col: str = "doc_id", tex
 
 
 def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns as they are."""
+    """``docs`` without the rows that score ``threshold`` or more; all columns as they are. Null and empty texts score as
+    texts without toxic tokens, repeated rows are judged each, an empty table stays empty."""
     name = fresh(docs, "toxicity")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -268,9 +349,7 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", thresho
     def scored(texts):
         model, out = shared.value, []
         for _, _, data, offsets in blocks(pa.array(texts.fillna(""), pa.large_string()), 4 << 20):
-            words = Words(data, offsets, ALPHANUMERIC)
-            p = marginals(_emissions(model.evidence(words), words.bounds, model.bias, model.near), words.bounds, model.stay, model.first)
-            out.append(_score(model.fit, *_summaries(p, words.bounds)))
+            out.append(model.judge(Words(data, offsets, ALPHANUMERIC))[1])
         import pandas as pd
 
         return pd.Series(np.concatenate(out) if out else np.zeros(0))

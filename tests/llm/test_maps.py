@@ -302,6 +302,32 @@ def test_marginals_against_enumeration():
         assert np.allclose(got[a:b], toxic / total)
 
 
+def test_likelihood_and_its_gradient():
+    """The likelihood against all taggings, the gradient against finite differences."""
+    from itertools import product
+
+    r = np.random.default_rng(9)
+    bounds = np.array([0, 4, 4, 5, 10, 12])
+    sample = toxicity.Sample(bounds, np.array([1, 0, 0, 0, 1]), np.sort(r.integers(0, 12, 14)), r.integers(0, 3, 14), 3)
+    theta = r.normal(size=8)
+    value, gradient = toxicity.log_likelihood(theta, sample)
+
+    own = np.bincount(sample.token, theta[:3][sample.feature], 12)
+    want = 0.0
+    for a, b, label in zip(bounds[:-1], bounds[1:], sample.labels, strict=True):
+        if a == b:
+            continue
+        e = [own[i] + theta[3] + theta[4] * ((own[i - 1] if i > a else 0) + (own[i + 1] if i + 1 < b else 0)) for i in range(a, b)]
+        weigh = lambda tags: np.exp(sum(x for x, t in zip(e, tags, strict=True) if t) + theta[7] * tags[0] + sum(theta[5 + x] for x, y in zip(tags, tags[1:], strict=False) if x == y))  # noqa: B023, E731
+        clean = weigh((0,) * (b - a)) / sum(weigh(tags) for tags in product((0, 1), repeat=int(b - a)))
+        want += np.log(1 - clean if label else clean)
+    assert abs(value - want) < 1e-9
+    for k in range(8):
+        step = np.zeros(8)
+        step[k] = 1e-6
+        assert abs((toxicity.log_likelihood(theta + step, sample)[0] - toxicity.log_likelihood(theta - step, sample)[0]) / 2e-6 - gradient[k]) < 1e-6
+
+
 def test_toxicity(spark, docs_of, awkward, prose):
     r = random.Random(9)
     rows, labels = list(awkward), [(1, 1), (2, 0), (4, None), (777, 1)]
