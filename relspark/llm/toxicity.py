@@ -181,14 +181,15 @@ def log_likelihood(theta: np.ndarray, sample: Sample) -> tuple[float, np.ndarray
     return value, np.concatenate((gradient, [p.sum(), p @ around, ((clean / whole - 1) * both).sum(), (toxic / whole * both).sum(), p[starts].sum()]))
 
 
-def _fitted(sample: Sample, begin: np.ndarray, prior: float, rounds: int) -> np.ndarray:
-    """theta that ascends the likelihood under a Gaussian prior around ``begin``, by Adam steps over the whole sample."""
+def _fitted(samples: list[Sample], begin: np.ndarray, prior: float, rounds: int) -> np.ndarray:
+    """theta that ascends the likelihood under a Gaussian prior around ``begin``, by Adam steps over all samples."""
     theta, mean, square = begin.copy(), np.zeros(len(begin)), np.zeros(len(begin))
     best, found = -np.inf, begin
     for r in range(1, rounds + 1):
-        value, g = log_likelihood(theta, sample)
-        value -= prior / 2 * float(((theta - begin) ** 2).sum())
-        g = g - prior * (theta - begin)
+        value, g = -prior / 2 * float(((theta - begin) ** 2).sum()), -prior * (theta - begin)
+        for sample in samples:
+            own, slope = log_likelihood(theta, sample)
+            value, g = value + own, g + slope
         if value > best:
             best, found = value, theta.copy()
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
@@ -228,7 +229,10 @@ def train(texts: list[str], labels: np.ndarray, *, least_places: int = 5, least_
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), -6.0, 0.0, (0.0, 0.0), 0.0, (-4.0 if not labels.any() else 0.0, 0.0, 0.0))
     if not len(texts) or not labels.any() or labels.all():
         return empty
-    parts = [Words(data, offsets, ALPHANUMERIC) for _, _, data, offsets in blocks(pa.array(texts, pa.large_string()))]
+    # texts of about one length together, for a block takes as many steps as its longest has tokens
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    texts, labels = [texts[i] for i in order], labels[order]
+    parts = [Words(data, offsets, ALPHANUMERIC) for _, _, data, offsets in blocks(pa.array(texts, pa.large_string()), 2 << 20)]
     # between how many different neighbours each feature stands in toxic and in other documents: copies add nothing
     of_text = np.split(labels, np.cumsum([len(w.bounds) - 1 for w in parts])[:-1])
     keys, in_toxic, in_other = [], [], []
@@ -257,21 +261,13 @@ def train(texts: list[str], labels: np.ndarray, *, least_places: int = 5, least_
     if not len(chosen):
         return empty
     model = Model(keys[chosen], odds[chosen], -6.0, 0.0, (1.0, 0.0), -1.0, (0.0, 0.0, 0.0))
-    hits = [model.hits(w) for w in parts]
-    first = np.cumsum([0, *(len(w.hashes) for w in parts)])
-    sample = Sample(
-        np.concatenate([[0], *(w.bounds[1:] + s for w, s in zip(parts, first, strict=False))]),
-        labels,
-        np.concatenate([t + s for (t, _), s in zip(hits, first, strict=False)]),
-        np.concatenate([f for _, f in hits]),
-        len(chosen),
-    )
-    del parts, hits
-    theta = _fitted(sample, np.concatenate((odds[chosen], [-6.0, 0.05, 1.0, 0.0, -1.0])), prior, rounds)
+    samples = [Sample(w.bounds, mine, *model.hits(w), len(chosen)) for w, mine in zip(parts, of_text, strict=True)]
+    del parts, keys, in_toxic, in_other
+    theta = _fitted(samples, np.concatenate((odds[chosen], [-6.0, 0.05, 1.0, 0.0, -1.0])), prior, rounds)
     model.weights = theta[: len(chosen)]
     model.bias, model.near, model.first, model.stay = float(theta[-5]), float(theta[-4]), float(theta[-1]), (float(theta[-3]), float(theta[-2]))
-    own = np.bincount(sample.token, model.weights[sample.feature], int(sample.bounds[-1]))
-    high, total = _summaries(marginals(_emissions(own, sample.bounds, model.bias, model.near), sample.bounds, model.stay, model.first), sample.bounds)
+    own = [np.bincount(x.token, model.weights[x.feature], int(x.bounds[-1])) for x in samples]
+    high, total = (np.concatenate(c) for c in zip(*[_summaries(marginals(_emissions(o, x.bounds, model.bias, model.near), x.bounds, model.stay, model.first), x.bounds) for o, x in zip(own, samples, strict=True)], strict=True))
     model.fit = tuple(float(x) for x in _ascend(np.stack([np.ones(len(high)), high, np.log1p(total)], axis=1), labels.astype(float)))
     return model
 
