@@ -3,8 +3,8 @@
 The automaton is built over the words of all templates and phrases. A file is streamed through
 it, which gives its matching statistics: at every word the length of the longest run of words
 ending there that some template holds. Where that is long enough, an automaton of each template gives
-the maximal matches in that template, for templates share words; they are chained along the template
-into covered spans, and a span whose words are a part of another span's is left out. Words that no template has reset the automaton, so only runs of known words
+the maximal matches in that template and all their places there, for templates share words and repeat some;
+the chains that cover most of the template make spans, and a span whose words are a part of another span's is left out. Words that no template has reset the automaton, so only runs of known words
 are streamed; finding those runs is vectorised over whole batches.
 """
 
@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from relspark.llm.columns import id_and_text
+from relspark.llm.license_texts import TEXTS
 from relspark.llm.textvec import ALPHANUMERIC, LOWER, Words, blocks, word_hash
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -54,18 +55,29 @@ TEMPLATES = {
     "cc-by-sa": ["this work is licensed under a creative commons attribution sharealike 4 0 international license", "licensed under cc by sa 4 0"],
     "all-rights-reserved": ["all rights reserved no part of this publication may be reproduced"],
 }
+#: Notices and whole texts.
+ALL_TEMPLATES = {label: TEMPLATES.get(label, []) + TEXTS.get(label, []) for label in [*TEMPLATES, *(x for x in TEXTS if x not in TEMPLATES)]}
 
 
 class Automaton:
-    """A generalised suffix automaton over word ids. Every state has one end: the template and word where it first ends."""
+    """A generalised suffix automaton over word ids. Every state has its ends, the templates and words where it ends, the
+    one that came first apart."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length, self.end = [-1], [0], [(-1, -1)]
+        at: list[tuple[int, tuple[int, int]]] = []  # a prefix's state and its end
         for k, words in enumerate(sequences):
             last = 0
             for i, w in enumerate(words):
                 last = self._extend(last, w, (k, i))
+                at.append((last, (k, i)))
+        self.ends: list[set[tuple[int, int]]] = [set() for _ in self.next]
+        for state, end in at:
+            self.ends[state].add(end)
+        for state in sorted(range(1, len(self.next)), key=lambda x: -self.length[x]):
+            if self.link[state]:  # the root's are never asked for
+                self.ends[self.link[state]] |= self.ends[state]
 
     def _state(self, length: int, link: int, edges: dict[int, int], end: tuple[int, int]) -> int:
         self.next.append(edges)
@@ -96,14 +108,18 @@ class Automaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, w)
         return new
 
-    def maximal_matches(self, words: list[int], least: int) -> list[tuple[int, int, int, int]]:
-        """(start, length, template, start there) of matches of ``least`` words or more that cannot grow to the right."""
+    def maximal_matches(self, words: list[int], least: int, *, every: bool = False) -> list[tuple[int, int, int, int]]:
+        """(start, length, template, start there) of matches of ``least`` words or more that cannot grow to the right, in the
+        place that came first, or in ``every`` one."""
         out, state, n = [], 0, 0
+
+        def add(end: int) -> None:
+            out.extend((end - n, n, k, e - n + 1) for k, e in (sorted(self.ends[state]) if every else (self.end[state],)))
+
         for i, w in enumerate(words):
             went = self.next[state].get(w)
             if went is None and n >= least:
-                k, e = self.end[state]
-                out.append((i - n, n, k, e - n + 1))
+                add(i)
             while went is None and state:
                 state = self.link[state]
                 n = self.length[state]
@@ -113,11 +129,43 @@ class Automaton:
             else:
                 state, n = went, n + 1
         if n >= least:
-            k, e = self.end[state]
-            out.append((len(words) - n, n, k, e - n + 1))
+            add(len(words))
         return out
 
 
+def best_chains(matches: list[tuple[int, int, int]], most_gap: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """(words covered, matches in order) of chains of (start, length, start in the template), the one that covers most first.
+
+    In a chain starts and ends grow on both sides, with at most ``most_gap`` words of the text between matches. Each match is in
+    one chain. Matches are maximal, so their ends come in the order of their starts and only the last few can be gone on from.
+    """
+    ms = sorted(matches)
+    covered, back = [], []
+    first = 0
+    for i, (s, n, t) in enumerate(ms):
+        while ms[first][0] + ms[first][1] < s - most_gap:
+            first += 1
+        best, of = n, -1
+        for j in range(i - 1, first - 1, -1):
+            x, m, y = ms[j]
+            more = n - max(0, x + m - s, y + m - t)
+            if x < s and y < t and more > 0 and covered[j] + more > best:
+                best, of = covered[j] + more, j
+        covered.append(best)
+        back.append(of)
+    out, used = [], [False] * len(ms)
+    for i in sorted(range(len(ms)), key=lambda i: (-covered[i], i)):
+        if used[i]:
+            continue
+        path, at = [], i
+        while at >= 0 and not used[at]:
+            used[at] = True
+            path.append(at)
+            at = back[at]
+        out.append((covered[i] - (covered[path[-1]] - ms[path[-1]][1]), [ms[x] for x in reversed(path)]))
+    return out
+
+
 class Scanner:
     """Templates and phrases, ready to scan blocks of texts. Built once in every worker from plain words."""
 
@@ -164,7 +212,7 @@ class Scanner:
                     if run[i : i + len(words)] == words:
                         base.append((a + i, label))
             if self.automaton.maximal_matches(run, self.least_run):
-                matches += [(a + s, n, k, t) for k, own in enumerate(self.single) for s, n, _, t in own.maximal_matches(run, self.least_run)]
+                matches += [(a + s, n, k, t) for k, own in enumerate(self.single) for s, n, _, t in own.maximal_matches(run, self.least_run, every=True)]
         spans = self.chain(matches)
         labels = sorted({x for _, x in base})
         found = sorted({self.templates[k][0] for k, *_ in spans} | set(labels))
@@ -182,19 +230,11 @@ class Scanner:
         for s, n, k, t in matches:
             by[k].append((s, n, t))
         for k, ms in by.items():
-            open_: list = []  # (start, end, end in the template, covered, words in the text)
-            for s, n, t in sorted(ms):
-                if open_ and s - open_[-1][1] <= self.max_gap and s >= open_[-1][1] - n + 1 and t + n > open_[-1][2]:
-                    start, end, tend, covered, stands = open_[-1]
-                    stands.update(range(s, s + n))
-                    open_[-1] = (start, max(end, s + n), t + n, covered + min(n, t + n - tend, s + n - end) if s + n > end else covered, stands)
-                else:
-                    open_.append((s, s + n, t + n, n, set(range(s, s + n))))
-            for start, end, _, covered, stands in open_:
-                share = min(1.0, covered / self.lengths[k])
+            for covered, path in best_chains(ms, self.max_gap):
+                share = covered / self.lengths[k]
                 if covered >= self.least_words and share >= self.least_share or share == 1.0:
-                    out.append((k, start, end, covered, share))
-                    words.append(stands)
+                    out.append((k, path[0][0], path[-1][0] + path[-1][1], covered, share))
+                    words.append({x for s, n, _ in path for x in range(s, s + n)})
         # only spans that begin no later can hold one; those that ended before are passed by
         kept, near = [], []
         for i in sorted(range(len(out)), key=lambda i: (out[i][1], -out[i][2], out[i][0])):
@@ -219,7 +259,7 @@ def scan_licenses(docs: DataFrame, *, phrases: dict[str, str] | None = None, tem
     table gives an empty result; other columns are not read. One pass, no shuffle; the templates are constants.
     """
     docs = id_and_text(docs, id_col, text_col)
-    phrases, templates = phrases or BASE_PHRASES, templates or TEMPLATES
+    phrases, templates = phrases or BASE_PHRASES, templates or ALL_TEMPLATES
     key = (tuple(phrases.items()), tuple((k, tuple(v)) for k, v in templates.items()), least_run, least_words, least_share, max_gap)
     spans = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("covered", pa.int64())]))
 

@@ -161,6 +161,49 @@ def test_automaton_finds_all_maximal_matches():
         assert all(templates[k][t : t + n] == text[s : s + n] for s, n, k, t in got)
 
 
+def test_whole_licenses_with_changes(docs_of):
+    texts = [(label, t) for label, ts in license_scan.TEXTS.items() for t in ts]
+    r = random.Random(9)
+    rows = []
+    for i, (_, t) in enumerate(texts):
+        w = t.split()
+        rows.append((3 * i, "# Copyright 1999 A. N. Author\n" + t.replace("\n", "\n# ")))
+        rows.append((3 * i + 1, " ".join("changed" if r.random() < 0.05 else x for x in w)))
+        rows.append((3 * i + 2, " ".join(x for x in w if r.random() >= 0.04) + " own words follow " + " ".join(w[:20])))
+    by = {x.doc_id: x for x in license_scan.scan_licenses(docs_of(rows)).collect()}
+    for i, (label, t) in enumerate(texts):
+        assert {by[3 * i + k].labels for k in range(3)} == {label}
+        assert by[3 * i].score == 1 and all(by[3 * i + k].score >= 0.6 for k in range(3))
+        whole = by[3 * i].spans[0]
+        assert whole.covered == whole.end - whole.start == len(WORD.findall(lower(t)))
+
+
+def test_license_chains_against_enumeration():
+    r = random.Random(12)
+    for _ in range(150):
+        template, text = ([r.randint(0, 2) for _ in range(n)] for n in (10, 12))
+        automaton = license_scan.Automaton([template])
+        got = automaton.maximal_matches(text, 2, every=True)
+        first = automaton.maximal_matches(text, 2)
+        ms = [(s, n, t) for s, n, _, t in got]
+        # every place of every match
+        assert sorted(ms) == sorted((s, n, t) for s, n, *_ in first for t in range(len(template) - n + 1) if template[t : t + n] == text[s : s + n])
+        gap = r.choice([0, 2, 5])
+
+        def most(last, left):
+            best = 0
+            for i, (s, n, t) in enumerate(left):
+                if last is None or s > last[0] and t > last[2] and s + n > last[0] + last[1] and t + n > last[2] + last[1] and s - last[0] - last[1] <= gap:  # noqa: B023
+                    new = n if last is None else n - max(0, last[0] + last[1] - s, last[2] + last[1] - t)
+                    if new > 0:
+                        best = max(best, new + most((s, n, t), left[i + 1 :]))
+            return best
+
+        chains = license_scan.best_chains(ms, gap)
+        assert max((c for c, _ in chains), default=0) == most(None, sorted(ms))
+        assert Counter(m for _, path in chains for m in path) == Counter(ms)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
