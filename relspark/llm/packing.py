@@ -168,14 +168,17 @@ def fillings(room: int, lengths: list[int], counts: _Less, most_waste: int, brea
     A filling that one larger item could replace is dominated, so an item that fits exactly is the only
     answer, and a filling of several items must exceed the largest single one.
     """
+    n = bisect_right(lengths, room)
+    if not n:
+        return iter([()] if room <= most_waste else [])
+    if lengths[n - 1] == room:  # no generator: a search may be as deep as there are bins
+        return iter([(room,)])
+    return _several(room, lengths, counts, most_waste, breadth, steps)
+
+
+def _several(room: int, lengths: list[int], counts: _Less, most_waste: int, breadth: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
+    """Those where some item fits and none exactly. What is held between two of them is small."""
     fit = lengths[: bisect_right(lengths, room)]
-    if not fit:
-        if room <= most_waste:
-            yield ()
-        return
-    if fit[-1] == room:
-        yield (room,)
-        return
     cheap = _exact(room, fit, counts, breadth, steps)
     if not cheap and len(fit) > 128:  # so many lengths that a few of them fill the room
         found = _fullest(room, sorted({*fit[-48:], *fit[:: len(fit) // 48]}), counts, 0, room, steps)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -116,6 +117,19 @@ def test_bin_completion_is_optimal_on_small_cases(seed):
     assert sum(t for _, t in patterns) == smallest_packing(items, 100)
 
 
+@pytest.mark.parametrize(("lengths", "room"), [(range(1, 2049), 1500), (range(7, 2049), 5), (range(2, 2049, 2), 1501)])
+def test_a_deep_search_holds_little_on_every_level(lengths, room):
+    lengths, steps, levels = list(lengths), [10**9], []
+    counts = packing._Less(dict.fromkeys(lengths, 9), lengths[-1])
+    tracemalloc.start()
+    for _ in range(200):
+        levels.append(packing.fillings(room, lengths, counts, 10, 4, steps))
+        next(levels[-1])
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 200 * 4000
+
+
 def test_licenses(docs_of, awkward):
     base = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
     rows = awkward + noise(3, ["under ", "the ", "mit ", "license ", "apache ", "Version ", "2 ", "cc-", "by-", "nc ", "x ", ", ", "Under The MIT License. "], 300, 20)
