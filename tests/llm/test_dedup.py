@@ -218,6 +218,49 @@ def test_passages_whose_parts_stand_in_earlier_documents(docs_of, prose, pieces)
     assert all(x.start <= 40 and x.end >= 100 for x in got)
 
 
+def changed(words, places):
+    return [f"changed{i}" if i in places else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize(("n", "share"), [(60, 0.1), (60, 0.2), (100, 0.2), (200, 0.2)])
+def test_changed_passages_whose_parts_stand_in_earlier_documents(docs_of, prose, n, share):
+    r = random.Random(n)
+    texts, wanted = [], set()
+    put = lambda words: texts.append(f"{prose(40_000 + len(texts), 40)} {' '.join(words)} {prose(50_000 + len(texts), 40)}")
+    for j in range(15):
+        passage = prose(9500 + 100 * n + j, n).split()
+        put(passage[:25])
+        put(passage[25:50])
+        put(passage)
+        # every so many words, or anywhere but at the ends
+        put(changed(passage, set(range(4, n - 2, round(1 / share))) if j % 3 == 0 else set(r.sample(range(2, n - 2), int(n * share)))))
+        wanted.add((len(texts) - 1, len(texts) - 2))
+    got = passage_dedup.shared_passages(docs_of(list(enumerate(texts)))).collect()
+    assert {(x.doc_id, x.ref_id) for x in got} == wanted
+    for x in got:
+        a, b = texts[x.doc_id].split()[x.start : x.end], texts[x.ref_id].split()[x.ref_start : x.ref_end]
+        assert min(len(a), len(b)) >= 50 and x.identity >= 0.8 and passage_dedup.common_words(a, b) >= x.n_equal == round(x.identity * max(len(a), len(b)))
+
+
+def test_changed_copies_of_a_passage_meet_each_other(docs_of, prose):
+    r = random.Random(3)
+    passage = prose(77_000, 80).split()
+    copies = [changed(passage, set(r.sample(range(2, 78), 8 + i % 7))) for i in range(20)]
+    rows = [(i, f"{prose(60_000 + i, 30)} {' '.join(c)} {prose(70_000 + i, 30)}") for i, c in enumerate(copies)]
+    got = {(x.doc_id, x.ref_id) for x in passage_dedup.shared_passages(docs_of(rows)).collect()}
+    same = {(i, j): sum(a == b for a, b in zip(copies[i], copies[j], strict=True)) for i in range(20) for j in range(i)}
+    assert {p for p, n in same.items() if n >= 64} <= got and len(got) > 20
+
+
+def test_a_passage_of_hot_words_is_joined_with_its_first_document(docs_of, prose):
+    """Its parts stand in many documents each, so no place of it is paired with all others."""
+    passage = prose(81_000, 60).split()
+    rows = [(i, f"{prose(82_000 + i, 20)} {' '.join(passage[:35] if i % 2 else passage[25:])} {prose(83_000 + i, 20)}") for i in range(90)]
+    rows += [(i, f"{prose(82_000 + i, 20)} {' '.join(passage)} {prose(83_000 + i, 20)}") for i in (100, 101, 102)]
+    got = {(x.doc_id, x.ref_id) for x in passage_dedup.shared_passages(docs_of(rows)).collect()}
+    assert {(101, 100), (102, 100)} <= got
+
+
 @pytest.mark.parametrize(("earlier", "later"), [(8, 8), (8, 20), (20, 8)])
 def test_a_line_repeated_in_two_documents(docs_of, prose, earlier, later):
     line = prose(71, 10)
