@@ -13,9 +13,11 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -24,10 +26,14 @@ from relspark.scratch import materialise
 
 _WORKER: dict = {}
 
+#: Fixed value: bytes of texts that are split at once. More of them repeat more words, and take more memory.
+SLICE = 4 << 20
 
 #: Words of these characters need no normalisation but lower case, and fall into the tokenizer's own pre-tokens by PRETOKEN.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 PRETOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Most of those that are no letters alone are ASCII letters and then marks, two pre-tokens; an apostrophe may begin others.
+MARKED = re.compile(rb"([A-Za-z]+)([!-&(-/:-@[-`{-~]+)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -108,23 +114,50 @@ class _Tokens:
     def _word(self, word: bytes) -> bytes:
         if word.isalpha():  # ASCII letters are one pre-token
             return self._part(word.lower())
+        ends = MARKED.fullmatch(word)
+        if ends:
+            return self._part(ends[1].lower()) + self._part(ends[2])
         text = word.decode()
         if not PLAIN.fullmatch(text):
             return self._packed(text)
         return b"".join([self._part(p.encode()) for p in PRETOKEN.findall(text.lower())])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [not self.by_word or any(s in t for s in self.special) for t in texts]  # special strings may hold or touch white space
-        split = [[] if w else t.encode().split() for t, w in zip(texts, whole, strict=True)]
-        missing = set().union(*split).difference(self.words.young)
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text. Arrow splits and joins; Python sees each distinct word of ``texts`` once."""
+        whole = np.full(len(texts), not self.by_word)
+        for s in self.special:  # special strings may hold or touch white space
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        packed = {int(i): self._packed(texts[int(i)].as_py()) for i in np.flatnonzero(whole)}
+        if packed:
+            texts = pc.if_else(pa.array(whole), "", texts)
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids = pa.array(self._distinct(words.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+        _, starts, data = ids.buffers()
+        at = np.frombuffer(starts, np.int64, len(ids) + 1)[split.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return [packed[i] if i in packed else bytes(data[lo:hi]) for i, (lo, hi) in enumerate(pairwise(at))]
+
+    def _distinct(self, words: list[bytes]) -> list[bytes]:
+        found = list(map(self.words.young.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
         if len(self.words.young) + len(missing) > self.words.most:
             self.words.room(len(missing))
-            missing = set().union(*split)
+            missing = range(len(words))
         young, old, word = self.words.young, self.words.old.get, self._word
-        for w in missing:
-            young[w] = old(w) or word(w)
-        get = young.__getitem__
-        return [self._packed(t) if w else b"".join(map(get, s)) for t, w, s in zip(texts, whole, split, strict=True)]
+        for k in missing:
+            w = words[k]
+            found[k] = young[w] = old(w) or word(w)
+        return found
+
+
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of parts of ``texts`` of at most ``most`` bytes, or of one text that is longer."""
+    ends, lo = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        yield lo, hi - lo
+        lo = hi
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separator: int, cache_size: int) -> DataFrame:
@@ -137,16 +170,16 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, separator: int,
         tokens, part, seen = _WORKER[key], TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([separator], "<u4").tobytes()
         for b in batches:
-            for lo in range(0, len(b), 64):
+            for lo, n_rows in slices(b.column(1), SLICE):
                 row, piece, start, length, crc, number = [], [], [], [], [], []
-                for i, ids in enumerate(tokens.encode(b.column(1).slice(lo, 64).to_pylist())):
+                for i, ids in enumerate(tokens.encode(b.column(1).slice(lo, n_rows))):
                     ids += end
                     for k, s in enumerate(range(0, len(ids) // 4, capacity)):
                         own = ids[4 * s : 4 * (s + capacity)]
                         n = len(own) // 4
                         row.append(i), piece.append(k), start.append(s), length.append(n), crc.append(zlib.crc32(own)), number.append(seen[n])
                         seen[n] += 1
-                ids_ = b.column(0).slice(lo, 64).take(pa.array(row, pa.int64()))
+                ids_ = b.column(0).slice(lo, n_rows).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [ids_, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(row), pa.int32()), pa.array(number, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"],

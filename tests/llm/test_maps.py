@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -83,6 +84,26 @@ def test_other_tokenizers_encode_whole_texts(docs_of, tmp_path):
     assert {r.doc_id: r.ids_crc32 for r in got} == want
 
 
+def test_packing_makes_no_object_for_each_word(awkward):
+    """Arrow splits and joins; Python sees distinct words, so what it allocates follows the ids."""
+    tok = Tokenizer.from_file(WORDS)
+    texts = [t or "" for _, t in awkward] + ["Some word-like parts, it's 12!? <|endoftext|>x <|", " \x1c\x85\u2028a\xa0b \x0b\x0c", "x'", "'re''s", "A`^~ b", "a'S.", ""]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    many = pa.array(["lorem ipsum, " * 100_000])
+    for most in (3, 800_000):
+        tokens = packing._Tokens(WORDS, most)
+        for size in (1, 40, 1 << 20):
+            parts = list(packing.slices(pa.array(texts), size))
+            assert [lo for lo, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]]
+            assert [ids for lo, n in parts for ids in tokens.encode(pa.array(texts).slice(lo, n))] == want
+        tracemalloc.start()
+        ids = tokens.encode(many)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert ids == [np.array(tok.encode("lorem ipsum, ", add_special_tokens=False).ids, "<u4").tobytes() * 100_000]
+        assert peak < 2 * len(ids[0]) + 4_000_000
+
+
 def smallest_packing(items, capacity):
     """Exact number of bins, by trying every bin for every item."""
     best = len(items)
